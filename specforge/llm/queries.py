@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, fingerprint, licences, mixing, toxicity
 
 
 def queries():
     return {
+        "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_mixing": mixing.op4_mixing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_licences": licences.op9_licences,
     }
 
 

@@ -3,7 +3,7 @@
 A text is cut by the vocabulary's pattern, and every match is merged by itself. The pending pairs of a match stand in a
 segment tree over its byte positions: a node holds the smallest pair rank below it with the leftmost position, so the
 root is the next merge, and a merge changes three leaves (the pair, its left and its right neighbour), each in
-logarithmic time. One match of n bytes takes O(n log n), however long it is.
+logarithmic time. A node has FAN children, so that a short match is a root over its leaves. One match of n bytes takes O(n log n), however long it is.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from .common import documents, text_of
 
 #: Encoded matches that a Python worker remembers; beyond it, it starts anew.
 REMEMBERED = 500_000
+#: Children of a node of the segment tree.
+FAN_BITS = 4
+FAN = 1 << FAN_BITS
 _NONE = 1 << 62
 
 
@@ -33,39 +36,40 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The token ids of one match."""
     if piece in ranks:
         return [ranks[piece]]
-    n = len(piece)
-    size = 1 << (n - 1).bit_length() if n > 1 else 1
+    n, get = len(piece), ranks.get
     after = list(range(1, n + 1))  # start of the part behind the one that starts here
     before = list(range(-1, n - 1))
-    get = ranks.get
-    tree = [_NONE] * (2 * size)
+    leaves = [_NONE] * n
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank << 32 | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-    while (least := tree[1]) != _NONE:
+            leaves[i] = rank << 32 | i
+    levels = [leaves]  # leaves first, the root's children last
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top, inner = levels[-1], levels[1:]
+    while (least := min(top)) != _NONE:
         i = least & 0xFFFFFFFF
         j = after[i]  # the part at j joins the one at i
         k = after[i] = after[j]
+        leaves[i] = leaves[j] = _NONE
         if k < n:
             before[k] = i
-        changed = [(j, _NONE)]
-        rank = get(piece[i : after[k]]) if k < n else None
-        changed.append((i, _NONE if rank is None else rank << 32 | i))
+            rank = get(piece[i : after[k]])
+            if rank is not None:
+                leaves[i] = rank << 32 | i
         h = before[i]
         if h >= 0:
             rank = get(piece[h:k])
-            changed.append((h, _NONE if rank is None else rank << 32 | h))
-        for at, value in changed:
-            at += size
-            while at and tree[at] != value:
-                tree[at] = value
-                at >>= 1
-                a, b = tree[2 * at], tree[2 * at + 1]
-                value = a if a < b else b
+            leaves[h] = _NONE if rank is None else rank << 32 | h
+        if inner:
+            changed, below = {max(h, 0), i, j}, leaves
+            for level in inner:
+                changed = {at >> FAN_BITS for at in changed}
+                for at in changed:
+                    level[at] = min(below[at << FAN_BITS : (at + 1) << FAN_BITS])
+                below = level
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, licences, mixing, toxicity
+from . import bpe, exact_dedup, fingerprint, language_model, licences, mixing, near_dedup, toxicity
 
 
 def queries():
     return {
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_mixing": mixing.op4_mixing,
+        "op5_language_model": language_model.op5_language_model,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, language_model, licences, mixing, near_dedup, toxicity
+from . import bpe, exact_dedup, fingerprint, language_model, licences, mixing, near_dedup, paragraphs, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_licences": licences.op9_licences,
+        "op10_paragraphs": paragraphs.op10_paragraphs,
     }
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, language_model, licences, mixing, near_dedup, paragraphs, toxicity
+import corpus_pipeline
+
+from . import bpe, exact_dedup, fingerprint, language_model, licences, mixing, near_dedup, paragraphs, suffix_dedup, toxicity
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_mixing": mixing.op4_mixing,
@@ -16,8 +19,10 @@ def queries():
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_licences": licences.op9_licences,
         "op10_paragraphs": paragraphs.op10_paragraphs,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    stated = {"op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in stated.items() if sql}

@@ -27,7 +27,7 @@ def apply(rows: DataFrame, settings: DataFrame) -> DataFrame:
     currencies get defaults; a forced manufacturer replaces any other."""
     joined = rows.join(settings, "supplier_id", "left")
     pattern = F.concat(F.lit("^(?:"), F.coalesce("brand_regex", F.lit("(?!)()()")), F.lit(")"))
-    head, brand = (T.clean_string(F.regexp_extract(F.col("name"), pattern, F.lit(i))) for i in (1, 2))
+    head, brand = (T.clean_string(F.call_function("regexp_extract", F.col("name"), pattern, F.lit(i))) for i in (1, 2))
     found = T.null_if_empty(F.coalesce("manufacturer", F.lit(""))).isNull() & head.isNotNull() & brand.isNotNull()
     factor = (F.lit(1).cast("decimal(9,4)") + F.col("vat_rate") / 100).cast("decimal(9,4)")
     net = F.bround(F.col("price").cast("decimal(18,4)") / factor, 4).cast("decimal(18,4)")

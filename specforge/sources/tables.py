@@ -212,5 +212,130 @@ decisions_ AS (
          CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'click' THEN 'rejected' WHEN 'view' THEN 'not_found'
            WHEN 'signup' THEN 'forwarded' WHEN 'error' THEN 'new_item_requested' END AS decision,
          user_id AS decided_by, ts AS decided_at, 'c' || (user_id * 10) AS chosen_item_id
-  FROM events)
+  FROM events),
+offers_ AS (
+  SELECT l_partkey AS partkey, min(l_suppkey) AS s1, max(l_suppkey) AS s2 FROM lineitem GROUP BY 1),
+candidates_ AS (
+  SELECT *, CASE WHEN confidence >= 0.95 THEN 'exact_article' WHEN confidence >= 0.5 THEN 'fuzzy_article' ELSE 'lexical' END AS match_type FROM (
+    SELECT spec_item_id, 'c' || partkey AS item_id, 'company_catalog' AS source_type,
+           (((spec_item_id * 7919) % 10000) / 10000.0)::decimal(5,4) AS confidence, 1 AS rank FROM spec_items_ WHERE line_number % 7 <> 0
+    UNION ALL
+    SELECT spec_item_id, 'p' || partkey || '-' || s1, 'supplier_pricelist', (((spec_item_id * 7919 + 17) % 10000) / 10000.0)::decimal(5,4), 1
+    FROM spec_items_ JOIN offers_ USING (partkey) WHERE line_number % 11 <> 0
+    UNION ALL
+    SELECT spec_item_id, 'p' || partkey || '-' || s2, 'supplier_pricelist', (((spec_item_id * 7919 - 500 + 10000) % 10000) / 10000.0)::decimal(5,4), 2
+    FROM spec_items_ JOIN offers_ USING (partkey) WHERE line_number % 11 <> 0 AND s1 <> s2)),
+gold_ AS (
+  SELECT spec_item_id AS gold_id, spec_item_id, 'file' || (spec_id % 50) AS source_file, name_raw AS name, article_raw AS article,
+         manufacturer_raw AS manufacturer, attributes_raw AS attributes, unit_raw AS unit,
+         CASE WHEN line_number % 5 <> 4 THEN parts_.article END AS expected_article,
+         CASE WHEN line_number % 5 <> 4 AND partkey % 2 = 0 THEN 'C' || partkey END AS expected_code_1c,
+         CASE WHEN line_number % 5 <> 4 THEN full_name END AS expected_name,
+         CASE WHEN spec_item_id % 29 = 0 THEN 'сомнительно' WHEN line_number % 5 = 4 THEN 'Не найдено' WHEN line_number % 5 = 3 THEN 'аналог' ELSE 'найдено' END AS label_status,
+         1700000000 + spec_item_id % 5000 AS created_s
+  FROM spec_items_ JOIN parts_ USING (partkey)),
+stored_ AS (
+  SELECT i.*, k.key_, 1700000000 + k.key_ % 1000 AS created_s,
+         CASE WHEN source_id <> 'catalog' AND k.key_ % 4 = 0 THEN 'OLD-' || lpad(k.key_::varchar, 6, '0') END AS supplier_sku,
+         CASE WHEN source_id <> 'catalog' AND k.key_ % 10 = 0 THEN 'c1' WHEN source_id <> 'catalog' AND k.key_ % 10 = 1 THEN 'c2' END AS linked_catalog_item_id,
+         CASE WHEN source_id <> 'catalog' AND k.key_ % 10 = 0 THEN 'manual' WHEN source_id <> 'catalog' AND k.key_ % 10 = 1 THEN 'auto' END AS catalog_link_source
+  FROM items_ i, LATERAL (SELECT regexp_extract(i.item_id, '^[cp]([0-9]+)', 1)::bigint AS key_) k),
+new_lists_ AS (
+  SELECT 'S' || suppkey AS source_id, partkey * 2 + copy AS line_number,
+         CASE WHEN partkey % 6 = 5 THEN 'NEW-' || partkey ELSE article END AS article_raw, NULL::varchar AS code_1c,
+         CASE WHEN partkey % 50 = 3 THEN ' ' ELSE full_name || ' v2' END AS name, brand AS manufacturer, offer AS price, 'шт' AS unit
+  FROM (SELECT l_partkey AS partkey, l_suppkey AS suppkey, max(l_extendedprice)::decimal(18,4) AS offer FROM lineitem GROUP BY 1, 2)
+  JOIN parts_ USING (partkey), LATERAL (SELECT unnest(CASE WHEN partkey % 9 = 0 THEN [0, 1] ELSE [0] END) AS copy)
+  WHERE partkey % 5 <> 4)
 """
+
+
+def stored_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items as an earlier import left them: with creation times, some numbers, some links (a few made by hand, a few
+    that lead nowhere any more)."""
+    key = F.regexp_extract("item_id", r"^[cp](\d+)", 1).cast("long")
+    listed = F.col("source_id") != "catalog"
+    return items(spark, folder).select(
+        "*",
+        F.timestamp_seconds(F.lit(1_700_000_000) + key % 1000).alias("created_at"),
+        F.when(listed & (key % 4 == 0), F.format_string("OLD-%06d", key)).alias("supplier_sku"),
+        F.when(listed & (key % 10 == 0), F.lit("c1")).when(listed & (key % 10 == 1), F.lit("c2")).alias("linked_catalog_item_id"),
+        F.when(listed & (key % 10 == 0), "manual").when(listed & (key % 10 == 1), "auto").alias("catalog_link_source"),
+    )
+
+
+def new_price_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The next price list of each supplier: raw rows, most offers again with a changed price, some gone, some new, some
+    repeated, some without a name."""
+    offers = (
+        read(spark, folder, "lineitem")
+        .groupBy(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"))
+        .agg(F.max("l_extendedprice").cast("decimal(18,4)").alias("offer"))
+        .join(parts(spark, folder).drop("price"), "partkey")
+    )
+    copies = F.when(F.col("partkey") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = offers.filter("partkey % 5 != 4").withColumn("copy", F.explode(copies))
+    fresh = F.col("partkey") % 6 == 5
+    return kept.select(
+        F.concat(F.lit("S"), "suppkey").alias("source_id"),
+        (F.col("partkey") * 2 + F.col("copy")).alias("line_number"),
+        F.when(fresh, F.concat(F.lit("NEW-"), "partkey")).otherwise(F.col("article")).alias("article_raw"),
+        F.lit(None).cast("string").alias("code_1c"),
+        F.when(F.col("partkey") % 50 == 3, " ").otherwise(F.concat("full_name", F.lit(" v2"))).alias("name"),
+        F.col("brand").alias("manufacturer"),
+        F.col("offer").alias("price"),
+        F.lit("шт").alias("unit"),
+    )
+
+
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored candidates for the review queries: the catalog card of a line's part (not for every line) and up to two
+    offers, with confidences that follow from the line's number."""
+    lines = spec_items(spark, folder).select("spec_item_id", "partkey", "line_number")
+    confidence = lambda shift: (F.pmod(F.col("spec_item_id") * 7919 + shift, F.lit(10000)) / 10000).cast("decimal(5,4)")
+    card = lines.filter("line_number % 7 != 0").select(
+        "spec_item_id", F.concat(F.lit("c"), "partkey").alias("item_id"), F.lit(CATALOG).alias("source_type"), confidence(0).alias("confidence"), F.lit(1).alias("rank")
+    )
+    offers = read(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("partkey")).agg(F.min("l_suppkey").alias("s1"), F.max("l_suppkey").alias("s2"))
+    offered = lines.filter("line_number % 11 != 0").join(offers, "partkey")
+    made = lambda s, shift, n: offered.select(
+        "spec_item_id", F.concat(F.lit("p"), "partkey", F.lit("-"), s).alias("item_id"), F.lit(PRICE_LIST).alias("source_type"), confidence(shift).alias("confidence"), F.lit(n).alias("rank")
+    )
+    both = card.unionByName(made("s1", 17, 1)).unionByName(made("s2", -500, 2).join(made("s1", 17, 1).select("spec_item_id", "item_id"), ["spec_item_id", "item_id"], "left_anti"))
+    kind = F.when(F.col("confidence") >= 0.95, "exact_article").when(F.col("confidence") >= 0.5, "fuzzy_article").otherwise("lexical")
+    return both.withColumn("match_type", kind)
+
+
+def gold_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows made from lines: the card of the line's part is expected, labels follow from the variant."""
+    lines = spec_items(spark, folder).alias("l").join(parts(spark, folder).select("partkey", "article", "full_name").alias("p"), "partkey")
+    n = F.col("line_number") % 5
+    label = F.when(F.col("spec_item_id") % 29 == 0, "сомнительно").when(n == 4, "Не найдено").when(n == 3, "аналог").otherwise("найдено")
+    return lines.select(
+        F.col("spec_item_id").alias("gold_id"), "spec_item_id", F.concat(F.lit("file"), F.pmod("spec_id", F.lit(50))).alias("source_file"),
+        F.col("name_raw").alias("name"), F.col("article_raw").alias("article"), F.col("manufacturer_raw").alias("manufacturer"),
+        F.col("attributes_raw").alias("attributes"), F.col("unit_raw").alias("unit"),
+        F.when(n != 4, F.col("p.article")).alias("expected_article"),
+        F.when((n != 4) & (F.col("partkey") % 2 == 0), F.concat(F.lit("C"), "partkey")).alias("expected_code_1c"),
+        F.when(n != 4, F.col("full_name")).alias("expected_name"), label.alias("label_status"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("spec_item_id") % 5000).alias("created_at"),
+    )
+
+
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every supplier's offers as a spreadsheet: a title, an empty row, a header over two rows, then the rows; prices and
+    quantities are written in several ways."""
+    offers = read(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"))
+    offers = offers.agg(F.min("l_extendedprice").cast("decimal(18,2)").alias("offer"), F.max("l_quantity").cast("int").alias("quantity")).join(parts(spark, folder).select("partkey", "article", "full_name"), "partkey")
+    price = F.col("offer").cast("string")
+    written = F.when(F.col("partkey") % 4 == 0, F.replace(price, F.lit("."), F.lit(","))).when(F.col("partkey") % 4 == 1, F.concat(price, F.lit(" руб"))).when(F.col("partkey") % 23 == 2, "по запросу").otherwise(price)
+    amount = F.when(F.col("partkey") % 31 == 5, "много").otherwise(F.concat("quantity", F.lit(" шт")))
+    name = F.when(F.col("partkey") % 40 == 7, F.lit("  ")).otherwise(F.concat(F.lit(" "), "full_name"))
+    values = F.array("article", name, amount, written, F.when(F.col("partkey") % 3 == 0, price))
+    row = (F.lit(4) + F.col("partkey")).cast("int")
+    body = offers.select(F.concat(F.lit("f"), "suppkey").alias("file_id"), row.alias("row_idx"), F.posexplode(values).alias("col_idx", "value"))
+    # A price list's title and header.
+    top = [(0, 0, "Прайс-лист"), (2, 3, "Цены со скидкой"), (2, 4, "РРЦ"), (3, 0, "Код"), (3, 1, "Наименование товара"), (3, 2, "Кол-во"), (3, 3, "Цена без НДС"), (3, 4, "Цена с НДС")]
+    head = F.explode(F.array(*(F.struct(F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), F.lit(v).alias("value")) for r, c, v in top))).alias("h")
+    files = read(spark, folder, "lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("file_id")).distinct().select("file_id", head).select("file_id", "h.*")
+    return files.unionByName(body).select("file_id", F.lit("Sheet1").alias("sheet"), "row_idx", "col_idx", "value").filter("value is not null")

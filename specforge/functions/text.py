@@ -161,7 +161,7 @@ def capitalized(text: Column) -> Column:
 
 def explanation_text(e: Column) -> Column:
     """The sentence that explains a candidate's score, from its explanation struct."""
-    two = lambda x: F.format_string("%.2f", x)
+    two = lambda x: F.round(x.cast("decimal(10,6)"), 2).cast("decimal(4,2)").cast("string")
     code = F.coalesce(e["extracted_code"], F.lit("код"))
     # Wording of the explanations.
     parts = F.concat_ws(

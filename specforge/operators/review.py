@@ -220,7 +220,7 @@ def export_rows(spec_items: DataFrame, candidates: DataFrame, verifications: Dat
         given("category_path").alias("category_path"), F.col("chosen_article_raw").alias("chosen_article"), "chosen_code_1c",
         given("supplier_sku").alias("chosen_supplier_sku"), "catalog_card", "chosen_name", "chosen_manufacturer",
         T.decimal_text(F.col("chosen_price")).alias("chosen_price"), given("currency").alias("chosen_currency"), "chosen_unit",
-        F.when(F.col("confidence").isNotNull(), F.format_string("%.3f", F.col("confidence").cast("double"))).alias("confidence"), "match_type",
+        F.round("confidence", 3).cast("decimal(4,3)").cast("string").alias("confidence"), "match_type",
     )
 
 

@@ -495,7 +495,7 @@ def f13(spark, d):
     return found.select("spec_item_id", "item_id", "source_type", "rank", F.col("confidence").cast("double").alias("confidence"), "match_type", "human_readable")
 
 
-_EXPLAINED = "CASE WHEN rank = 1 THEN 'Артикул совпал точно' ELSE 'Наименование близко (score=' || printf('%.2f', confidence::double) || ')' END"
+_EXPLAINED = "CASE WHEN rank = 1 THEN 'Артикул совпал точно' ELSE 'Наименование близко (score=' || round(confidence, 2)::decimal(3,2)::varchar || ')' END"
 
 
 @query("b16_explanation", f" SELECT spec_item_id, item_id, {_EXPLAINED} AS sentence FROM candidates_")
@@ -669,7 +669,7 @@ def g20(spark, d):
 
 @query("a18_export", _WON + r""" SELECT s.spec_item_id, s.line_number, s.name_raw, won.decision, regexp_replace(s.quantity::varchar, '\.?0+$', '') AS quantity, i.name AS chosen_name, i.code_1c AS chosen_code_1c,
  regexp_replace(i.price::varchar, '\.?0+$', '') AS chosen_price, CASE WHEN source_type = 'company_catalog' THEN 'Каталог компании' WHEN source_type IS NOT NULL THEN 'Прайс: ' || source_name END AS source,
- CASE WHEN c.confidence IS NOT NULL THEN printf('%.3f', c.confidence::double) END AS confidence, c.match_type
+ round(c.confidence, 3)::decimal(4,3)::varchar AS confidence, c.match_type
  FROM spec_items_ s JOIN won USING (spec_item_id) LEFT JOIN items_ i ON i.item_id = won.item_id LEFT JOIN (SELECT source_id, source_type, source_name FROM sources_) so USING (source_id)
  LEFT JOIN (SELECT spec_item_id, item_id, max(confidence) AS confidence, min(match_type) AS match_type FROM candidates_ GROUP BY 1, 2) c ON c.spec_item_id = s.spec_item_id AND c.item_id = won.item_id""")
 def a18(spark, d):

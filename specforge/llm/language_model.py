@@ -31,8 +31,9 @@ from .common import ascii_lower, documents, settle, text_of
 FREQUENT, CLUSTERED = 2e-6, 2e-5
 #: Classes of clustered words, classes by ending, rounds of the exchange.
 CLASSES, ENDINGS, ROUNDS = 64, 16, 4
-#: Weight of the class model; pseudo-count by which transitions lean on class frequencies.
-CLASS_WEIGHT, PRIOR = 0.8, 20.0
+#: Weight of the class model where no token is unknown, and how fast it falls with the share of unknown ones; pseudo-count
+#: by which transitions lean on class frequencies.
+CLASS_WEIGHT, UNSEEN_COST, PRIOR = 0.8, 2.3, 20.0
 _ALL = CLASSES + ENDINGS + 1
 _END = _ALL - 1  # class of the end of a text; the start of the next one sees it too
 _STOP = b"\n"  # stands for the end; no word holds a line break
@@ -152,9 +153,13 @@ def _move(bigrams: np.ndarray, classes: np.ndarray, turn: int):
 class Model:
     """Word counts (a table), frequent words with classes, class bigrams, and the sizes of the training corpus."""
 
-    def __init__(self, counts: DataFrame, lexicon: _Lexicon, bigrams: np.ndarray, tokens: int, types: int, texts: int):
+    def __init__(self, counts: DataFrame, lexicon: _Lexicon, bigrams: np.ndarray, tokens: int, types: int, texts: int, once: int):
         self.counts, self.lexicon, self.bigrams = counts, lexicon, bigrams
         self.tokens, self.types, self.texts = tokens, types, texts
+        #: Share of new text's tokens that are unknown, by Good and Turing. Each of them pays for the class model's
+        #: weight, so that falls with their share.
+        self.unseen = once / max(1, tokens)
+        self.class_weight = CLASS_WEIGHT * max(0.1, 1 - UNSEEN_COST * self.unseen)
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
@@ -164,7 +169,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mode
     words = texts.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
     counts = settle(words.groupBy("word").agg(F.count(F.lit(1)).alias("c")))
     n_texts = texts.count()
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    total, types, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     tokens, types = total + n_texts, types + (n_texts > 0)
     frequent = counts.filter(F.col("c") >= FREQUENT * tokens).orderBy(F.desc("c"), "word").collect()  # at most 1 / FREQUENT
     seen = np.array([r["c"] for r in frequent], np.int64)
@@ -185,17 +190,18 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mode
         classes = classes.copy()
         for r in moved:  # at most 1 / CLUSTERED
             classes[r["word"]] = r["class"]
-    return Model(counts, lexicon, bigrams, tokens, types, n_texts)
+    return Model(counts, lexicon, bigrams, tokens, types, n_texts, once)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row: token counts and log10 probabilities of the text by
     add-one unigrams and by the model. A null text is empty: one token, its end. Other columns are not read."""
     spark = docs.sparkSession
+    weight = model.class_weight
     denominator = float(model.tokens + model.types + 1)
     into = model.bigrams.sum(0)
     transitions = (model.bigrams + PRIOR * into / max(1, into.sum())) / (model.bigrams.sum(1, keepdims=True) + PRIOR)
-    factors = CLASS_WEIGHT * transitions / np.maximum(into, 1)
+    factors = weight * transitions / np.maximum(into, 1)
     sent = spark.sparkContext.broadcast((model.lexicon, factors))
     n_texts = model.texts
 
@@ -210,7 +216,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             met = ids >= 0
             unigram = (c + 1) / denominator
             base = np.where(met, np.log10(unigram), 0.0)
-            own = np.where(met, np.log10(a * c + (1 - CLASS_WEIGHT) * unigram), 0.0)
+            own = np.where(met, np.log10(a * c + (1 - weight) * unigram), 0.0)
             rare = np.flatnonzero(~met)
             ends = np.concatenate(([0], np.searchsorted(rare, stops))).astype(np.int32)
             listed = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
@@ -248,7 +254,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         .agg(
             F.sum((seen > 0).cast("long")).alias("more_known"),
             F.sum(F.log10(unigram)).alias("more_base"),
-            F.sum(F.log10(F.col("a").cast("double") * seen + (1 - CLASS_WEIGHT) * unigram)).alias("more_own"),
+            F.sum(F.log10(F.col("a").cast("double") * seen + (1 - weight) * unigram)).alias("more_own"),
         )
     )
     zero = F.lit(0)

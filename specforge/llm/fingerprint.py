@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, documents, id_back, id_key, settle, text_of
 
 REPS, BINS = 8, 32
+#: A term's weight is cut into parts of at most so much, each a term of its own. Minima and maxima of weights add up over
+#: the parts, so the similarity stays the same, and a frequent word does not count as one register's worth.
+PART = 2
+#: Rows of a partition, on average at most.
+PART_ROWS = 2048
 #: Rows of a bucket, on average; neighbours in the order of ids are looked up within a bucket.
 BUCKET_ROWS = 512
 _SIG, _Q = 12, 44
@@ -51,7 +56,13 @@ def _registers(texts: DataFrame, keys: list[str]) -> DataFrame:
         .filter("word != ''")
         .select(*keys, F.xxhash64("word").alias("term"))
         .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    part = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("weight") - 1).cast("long"), F.lit(PART).cast("long")))
+    terms = terms.select(*keys, "term", "weight", part.alias("part")).select(
+        *keys,
+        F.xxhash64("term", "part").alias("term"),
+        F.least(F.col("weight") - F.col("part"), F.lit(PART)).cast("double").alias("weight"),
     )
     least = _samples(terms, keys).groupBy(*keys, "register").agg(F.min("v").alias("v"))
     value = F.col("register").cast("long") * F.lit(2**_SIG) + F.col("v").bitwiseAND(F.lit(2**_SIG - 1))
@@ -107,6 +118,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("did"), F.max("did")).first()
     shift = max(0, int(math.log2(max(1, (high - low) / n * BUCKET_ROWS)))) if n else 0
     rows = rows.select(F.shiftright(F.col("did"), shift).alias("bucket"), "did", "text")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / PART_ROWS))
     tops = rows.groupBy("bucket").agg(F.max("did").alias("did"))
     first = rows.join(tops, ["bucket", "did"], "left_semi").groupBy("bucket").agg(F.max("text").alias("text"))
     first = settle(first)
@@ -120,7 +132,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy(F.desc("did"), F.desc("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     numbered = (
-        rows.withColumn("rn", F.row_number().over(order))
+        rows.repartition(parts, "bucket")
+        .withColumn("rn", F.row_number().over(order))
         .withColumn("next", F.lead("text").over(order))
         .join(behind, "bucket", "left")
         .withColumn("n_chars", F.length("text"))
@@ -134,16 +147,25 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
     sides = numbered.select("bucket", "rn", F.posexplode(F.array("text", "edited")).alias("side", "t"))
     found = _registers(sides, ["bucket", "rn", "side"])
-    found = found.groupBy("bucket", "rn").agg(
-        F.first(F.when(F.col("side") == 0, F.col("registers")), ignorenulls=True).alias("own"),
-        F.first(F.when(F.col("side") == 1, F.col("registers")), ignorenulls=True).alias("edit"),
+    facts = numbered.select(
+        "bucket",
+        "rn",
+        "did",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.when(F.col("next").isNull(), F.col("first_registers")).alias("outside"),
+        F.lit(None).cast("array<long>").alias("own"),
+        F.lit(None).cast("array<long>").alias("edit"),
     )
-    facts = numbered.select("bucket", "rn", "did", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "first_registers")
+    side = lambda i: F.when(F.col("side") == i, F.col("registers"))
+    found = found.select("bucket", "rn", side(0).alias("own"), side(1).alias("edit"))
+    # both are dealt by bucket, so neither their union nor what follows deals them out again
+    merged = facts.unionByName(found, allowMissingColumns=True).groupBy("bucket", "rn")
+    merged = merged.agg(*(F.first(c, ignorenulls=True).alias(c) for c in facts.columns[2:]))
     by_rn = Window.partitionBy("bucket").orderBy("rn")
     last = F.lead("rn").over(by_rn).isNull()
     return (
-        facts.join(found, ["bucket", "rn"], "left")
-        .withColumn("following", F.when(last, F.col("first_registers")).otherwise(F.lead("own").over(by_rn)))
+        merged.withColumn("following", F.when(last, F.col("outside")).otherwise(F.lead("own").over(by_rn)))
         .select(
             id_back("did").alias("doc_id"),
             F.col("n_chars").cast("long").alias("n_chars"),

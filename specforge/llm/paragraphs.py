@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, documents, id_back, id_key, settle, text_of
-from .links import WordHashes, link, mix, set_key, shingles
+from .links import WordHashes, link, mix, runs, set_key
 
 LEAST_WORDS, SHINGLE, PERCENT = 20, 5, 80
-#: Bands of two MinHash values: a pair with a similarity of 0.8 shares none with a probability of 4e-5.
-BANDS, ROWS = 10, 2
+#: Bands of two MinHash values: a pair with a similarity of 0.8 shares none with a probability of 1e-4.
+BANDS, ROWS = 9, 2
 PASSAGE, WINDOW = 30, 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,35 +90,38 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            did, digest, first, n, key, bands = [], [], [], [], [], []
+            did, digest, first, n, key, members, bands = [], [], [], [], [], [], []
             for row, digest_of, content in zip(*(part.column(c).to_pylist() for c in ("did", "digest", "text")), strict=True):
                 content = content.encode().lower()
                 words = content.split()
-                found = []
-                if len(words) >= PASSAGE:
-                    values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    passages = window_hashes(values, PASSAGE)
-                    chosen = picked(passages, WINDOW)
-                    found += [(i, PASSAGE, k, ()) for i, k in zip(chosen.tolist(), passages[chosen].view(np.int64).tolist(), strict=True)]
-                word = 0
+                if len(words) < LEAST_WORDS:
+                    continue
+                values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                passages = window_hashes(values, PASSAGE)
+                chosen = picked(passages, WINDOW)
+                found = [(i, PASSAGE, k, 0, ()) for i, k in zip(chosen.tolist(), passages[chosen].view(np.int64).tolist(), strict=True)]
+                of_text, word = runs(values, SHINGLE), 0
                 for line in content.split(b"\n"):
-                    w = line.split()
-                    if len(w) >= LEAST_WORDS:
-                        s = shingles(w, SHINGLE, hashes)
+                    w = len(line.split())
+                    if w >= LEAST_WORDS:
+                        s = np.unique(of_text[word : word + w - SHINGLE + 1])
                         least = (s[:, None] * _MULTIPLY + _ADD).min(0).reshape(BANDS, ROWS)
-                        b = mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) + least[:, 1]).view(np.int64)
-                        found.append((word, len(w), set_key(s), b.tolist()))
-                    word += len(w)
-                for i, length, k, b in found:
+                        b = np.arange(BANDS, dtype=np.uint64)
+                        for i in range(ROWS):
+                            b = mix(b + least[:, i])
+                        found.append((word, w, set_key(s), len(s), b.view(np.int64).tolist()))
+                    word += w
+                for i, length, k, m, b in found:
                     did.append(row)
                     digest.append(digest_of)
                     first.append(i)
                     n.append(length)
                     key.append(k)
+                    members.append(m)
                     bands.append(b)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(did, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["did", "digest", "first", "n", "k", "bands"],
+                [pa.array(did, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(members, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["did", "digest", "first", "n", "k", "members", "bands"],
             )
 
 
@@ -170,9 +173,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text are one document, listed twice, and are cut alike. Other columns are not read.
     """
     base = docs.select(id_key().alias("did"), text_of().alias("text"))
-    units = settle(base.withColumn("digest", F.xxhash64("text")).mapInArrow(_units, "did long, digest long, first int, n long, k long, bands array<long>"))
+    units = settle(base.withColumn("digest", F.xxhash64("text")).mapInArrow(_units, "did long, digest long, first int, n long, k long, members long, bands array<long>"))
     natural = units.filter(F.size("bands") > 0)
-    labels = link(natural.select("k", F.size("bands").alias("n"), "did", "bands"), base, lines, SHINGLE, PERCENT)
+    labels = link(natural.select("k", F.col("members").alias("n"), "did", "bands"), base, lines, SHINGLE, PERCENT)
     placed = units.select("did", "digest", "first", "n", "k")
     firsts = placed.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
     origin = firsts.groupBy("label").agg(F.min("did").alias("origin"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")

@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words, in DataFrame expressions only.
 
 The index holds the words of short licence templates with their positions. How many documents hold each of these words
-gives its inverse document frequency (IDF). A file is looked up by its highest-IDF licence words: each occurrence votes
+gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. A file is looked up by its highest-IDF licence words: each occurrence votes
 for template and shift (position in the file less position in the template). Postings of one template that agree on
 the shift stand as in the template; the share of the template's looked-up IDF that agrees is the match, and it counts
 only if the file also holds the template's mandatory key phrase. Beside it, base labels come from phrases whose words
@@ -44,8 +44,6 @@ TEMPLATES = [
 LOOKED_UP = 24
 #: Least share of a template's IDF that must stand in its place.
 LEAST_SHARE = 0.7
-#: A word in more than this share of the documents is not looked up (it has next to no IDF).
-COMMON_SHARE = 0.2
 
 
 def _contains(line: Column, phrases) -> Column:
@@ -102,8 +100,10 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     )
     n = rows.count()
     df = rows.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.filter(F.col("df") <= F.greatest(F.lit(COMMON_SHARE * n), F.lit(1.0))).select("word", F.log((n + 1) / F.col("df")).alias("idf"))
-    index = _index(spark).join(F.broadcast(idf), "word")  # at most one row for each word of the templates
+    # one row for each word of the templates, also for those that no document holds
+    idf = _index(spark).select("word").distinct().join(F.broadcast(df), "word", "left")
+    idf = idf.select("word", F.log(1 + F.lit(n + 1) / F.coalesce("df", F.lit(1))).alias("idf"))
+    index = _index(spark).join(F.broadcast(idf), "word")
     whole = index.select("template", "word", "idf").groupBy("template").agg(F.sum("idf").alias("whole"))
     index = index.join(F.broadcast(whole), "template")
     held = rows.filter("located is not null").select("rid", "confirmed", F.explode("located").alias("o")).select("rid", "confirmed", "o.*")

@@ -160,6 +160,11 @@ def test_licences_base_places_and_labels(docs, texts, spark):
     assert all(set(r["base_labels"]) <= set(r["labels"]) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_licences_of_every_document_are_found(spark):
+    table = spark.createDataFrame([(i, f"All rights reserved. Text {i}") for i in range(4)], "doc_id long, text string")
+    assert [(r["labels"], r["score"]) for r in licences.scan(table).collect()] == [(["proprietary"], 1.0)] * 4
+
+
 def test_empty_tables(nothing, spark):
     path, pattern = bpe.public_vocabulary()
     assert fingerprint.compare_edited(nothing).count() == 0

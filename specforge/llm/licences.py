@@ -1,11 +1,11 @@
 """Licence scans by a positional index of rare words, in DataFrame expressions only.
 
 The index holds the words of short licence templates with their positions. How many documents hold each of these words
-gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. A file is looked up by its highest-IDF licence words: each occurrence votes
-for template and shift (position in the file less position in the template). Postings of one template that agree on
-the shift stand as in the template; the share of the template's looked-up IDF that agrees is the match, and it counts
-only if the file also holds the template's mandatory key phrase. Beside it, base labels come from phrases whose words
-stand consecutively.
+gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. Each template whose
+mandatory key phrase a file holds is looked up by the template's highest-IDF words, whatever else the file holds: each
+occurrence votes for template and shift (position in the file less position in the template). Postings of one template
+that agree on the shift stand as in the template; the share of the template's looked-up IDF that agrees is the match.
+Beside it, base labels come from phrases whose words stand consecutively.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 ]
-#: Distinct words by which a file is looked up.
+#: Distinct words by which a template is looked up; no template here has more.
 LOOKED_UP = 24
 #: Least share of a template's IDF that must stand in its place.
 LEAST_SHARE = 0.7
@@ -103,15 +103,13 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     # one row for each word of the templates, also for those that no document holds
     idf = _index(spark).select("word").distinct().join(F.broadcast(df), "word", "left")
     idf = idf.select("word", F.log(1 + F.lit(n + 1) / F.coalesce("df", F.lit(1))).alias("idf"))
-    index = _index(spark).join(F.broadcast(idf), "word")
+    by_idf = Window.partitionBy("template").orderBy(F.desc("idf"), "word")
+    index = _index(spark).join(F.broadcast(idf), "word").withColumn("place", F.dense_rank().over(by_idf)).filter(F.col("place") <= looked_up)
     whole = index.select("template", "word", "idf").groupBy("template").agg(F.sum("idf").alias("whole"))
     index = index.join(F.broadcast(whole), "template")
     held = rows.filter("located is not null").select("rid", "confirmed", F.explode("located").alias("o")).select("rid", "confirmed", "o.*")
-    held = held.join(F.broadcast(idf), "word")
-    by_idf = Window.partitionBy("rid").orderBy(F.desc("idf"), "word")
-    best = held.withColumn("place", F.dense_rank().over(by_idf)).filter(F.col("place") <= looked_up)
     votes = (
-        best.join(F.broadcast(index.select("template", "label", "word", "at", "whole")), "word")
+        held.join(F.broadcast(index.select("template", "label", "word", "at", "idf", "whole")), "word")
         .filter(F.array_contains("confirmed", F.col("template")))
         .groupBy("rid", "template", "label", "whole", (F.col("pos") - F.col("at")).alias("shift"))
         .agg(F.sum("idf").alias("stands"))

@@ -165,6 +165,15 @@ def test_licences_of_every_document_are_found(spark):
     assert [(r["labels"], r["score"]) for r in licences.scan(table).collect()] == [(["proprietary"], 1.0)] * 4
 
 
+def test_licences_of_a_file_with_all_notices(spark):
+    notices = [t for _, t, _ in licences.TEMPLATES]
+    # the other rows make some words of every template frequent and others rare
+    rows = [(0, "\n".join(notices)), *((i, "plain text of the software") for i in range(1, 40)), (40, " ".join(sorted({w for t in notices for w in t.split()})) + " " + notices[0])]
+    by_id = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by_id[0]["labels"] == sorted({x for x, _, _ in licences.TEMPLATES}) and by_id[0]["score"] == pytest.approx(1.0)
+    assert by_id[1]["labels"] == [] and by_id[40]["labels"] == ["mit"] and by_id[40]["score"] == pytest.approx(1.0)
+
+
 def test_empty_tables(nothing, spark):
     path, pattern = bpe.public_vocabulary()
     assert fingerprint.compare_edited(nothing).count() == 0

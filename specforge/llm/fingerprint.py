@@ -23,8 +23,10 @@ REPS, BINS = 8, 32
 PART = 2
 #: Rows of a partition, on average at most.
 PART_ROWS = 2048
-#: Rows of a bucket, on average; neighbours in the order of ids are looked up within a bucket.
+#: Rows of a bucket, less than twice as many; neighbours in the order of ids are looked up within a bucket.
 BUCKET_ROWS = 512
+#: Ids with more rows than a bucket are dealt by their texts into at most 2^SUB buckets.
+SUB = 8
 _SIG, _Q = 12, 44
 
 
@@ -93,10 +95,47 @@ def fingerprints(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     )
 
 
+def _borders(rows: DataFrame) -> tuple[list[int], dict[int, int]]:
+    """The smallest id of each bucket, in order, and the ids with more rows than a bucket with how many they have.
+
+    Buckets are filled by the rows that ids have, so that gaps, outliers and missing ids do not matter. The driver
+    gets one id for each bucket.
+    """
+    ids = rows.groupBy("did").agg(F.count(F.lit(1)).alias("m"))
+    ids = settle(ids.repartitionByRange("did").withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy("did")
+    before = (F.sum("m").over(order) - F.col("m")).alias("before")
+    placed = ids.select("did", "m", before, F.lag("m").over(order).alias("last"))
+    filled = F.floor(F.col("before") / BUCKET_ROWS) > F.floor((F.col("before") - F.col("last")) / BUCKET_ROWS)
+    starts = placed.filter(F.col("last").isNull() | filled | (F.greatest("m", "last") > BUCKET_ROWS)).select("did", "m").collect()
+    return sorted(r["did"] for r in starts), {r["did"]: r["m"] for r in starts if r["m"] > BUCKET_ROWS}
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """bucket, did and text of the rows (did, text); buckets follow the order of ids and, within an id, of texts."""
+    borders, large = _borders(rows)
+    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    # how many borders are at or below the id, by binary search; the id goes along, as lambdas must not refer to columns
+    # here (Spark infers filters from a column that is joined, and fails on such a lambda)
+    steps = listed(2**i for i in reversed(range(max(1, len(borders).bit_length()))))
+    above = lambda s, by: F.get(listed(borders), (s["at"] + by - 1).cast("int")) <= s["did"]
+    step = lambda s, by: F.struct(s["did"].alias("did"), F.when(above(s, by), s["at"] + by).otherwise(s["at"]).alias("at"))
+    start = F.struct(F.col("did"), F.lit(0).cast("long").alias("at"))
+    place = F.aggregate(steps, start, step, lambda s: s["at"]) if borders else F.lit(0).cast("long")
+    rows = rows.select(F.shiftleft(place, SUB).alias("bucket"), "did", "text")
+    if not large:
+        return rows
+    ids = F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in large], "did long"))
+    parts = min(2**SUB, math.ceil(sum(large.values()) / BUCKET_ROWS))
+    dealt = rows.join(ids, "did", "left_semi").withColumn("salt", F.rand(1)).repartitionByRange(parts, "bucket", "text", "salt")
+    dealt = settle(dealt.select((F.col("bucket") + F.spark_partition_id()).alias("bucket"), "did", "text"))
+    return rows.join(ids, "did", "left_anti").select("bucket", "did", "text").unionByName(dealt)
+
+
 def _followers(buckets: DataFrame) -> DataFrame:
-    """bucket and the next one downwards (after the lowest, the highest), by windows over groups of 1,024 buckets and
+    """bucket and the next one downwards (after the lowest, the highest), by windows over groups of 1,024 places and
     then over one row for each group."""
-    grouped = buckets.withColumn("grp", F.shiftright("bucket", 10))
+    grouped = buckets.withColumn("grp", F.shiftright("bucket", 10 + SUB))
     inside = grouped.withColumn("inside", F.lead("bucket").over(Window.partitionBy("grp").orderBy(F.desc("bucket"))))
     down = Window.orderBy(F.desc("grp"))
     tops = grouped.groupBy("grp").agg(F.max("bucket").alias("top"))
@@ -110,14 +149,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprint every text and its edited text, and compare it with both the edited and the next document's text.
 
     The order is by descending doc_id; rows that share an id follow each other by their texts, and a null id comes
-    last. A null text is empty. Documents are bucketed by ranges of their ids, so that a neighbour is found within a
+    last. A null text is empty. Documents are bucketed by ranges that ids (and the texts of one id) fill evenly, so that a neighbour is found within a
     bucket or is the first row of the next one; only those first rows are joined. Every row gives one row; an empty
     table gives none; other columns are not read.
     """
     rows = docs.select(id_key().alias("did"), text_of().alias("text"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("did"), F.max("did")).first()
-    shift = max(0, int(math.log2(max(1, (high - low) / n * BUCKET_ROWS)))) if n else 0
-    rows = rows.select(F.shiftright(F.col("did"), shift).alias("bucket"), "did", "text")
+    n = rows.count()
+    rows = _bucketed(rows)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / PART_ROWS))
     tops = rows.groupBy("bucket").agg(F.max("did").alias("did"))
     first = rows.join(tops, ["bucket", "did"], "left_semi").groupBy("bucket").agg(F.max("text").alias("text"))

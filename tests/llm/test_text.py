@@ -9,8 +9,9 @@ import zlib
 import numpy as np
 import pytest
 from conftest_values import low, null_first
+from pyspark.sql import functions as F
 
-from specforge.llm import bpe, fingerprint, language_model, licences, mixing, toxicity
+from specforge.llm import bpe, common, fingerprint, language_model, licences, mixing, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,6 +42,22 @@ def test_fingerprints_follow_generalised_jaccard(docs, texts):
     assert np.abs(a - b).mean() < 0.06
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_fingerprints_with_many_buckets(docs, texts, monkeypatch, size):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", size)
+    test_fingerprints_follow_generalised_jaccard(docs, texts)
+
+
+@pytest.mark.parametrize("odd", [[None], [2**62, -(2**62)], [7] * 3000, [None] * 3000])
+def test_fingerprints_are_dealt_evenly(spark, odd):
+    ids = [*range(3000), *odd]
+    table = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = fingerprint.compare_edited(common.settle(table))  # plans on files differ from those on local rows
+    rows = rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.collect_list("doc_id").alias("ids")).collect()
+    assert sum(r["n"] for r in rows) == len(ids) and max(r["n"] for r in rows) < 0.8 * len(ids)
+    assert collections.Counter(i for r in rows for i in r["ids"]) == collections.Counter(i for i in ids if i is not None)
+
+
 def test_equal_texts_have_equal_fingerprints(docs, texts):
     found = fingerprint.compare_edited(docs).collect()
     by_id = {r["doc_id"]: r["fingerprint"] for r in found}

@@ -42,23 +42,60 @@ def id_back(column: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a new local one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a local session, as in tests, may go without one
+    and gets a new folder; elsewhere a folder of one machine would lose what other machines write."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a result that is used more than once to the shared folder and read it back, so that a lost executor
-    costs no recomputation and every use sees the same rows."""
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a result that is used more than once to the shared folder and read it back, so that a lost executor
+    costs no recomputation and every use sees the same rows."""
+    return _written(df)[1]
+
+
+class Scratch:
+    """Settled tables that are deleted together after their last use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        path, read = _written(df)
+        self.paths.append(path)
+        return read
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
 
 
 def fits(df: DataFrame, most: int) -> bool:
     """Whether a table has at most so many rows; it stops counting there."""
     return df.limit(most + 1).count() <= most
+
+
+def aside(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -24,5 +24,5 @@ def queries():
 
 
 def oracle_sql():
-    stated = {"op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    stated = {"op4_mixing": mixing.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in stated.items() if sql}

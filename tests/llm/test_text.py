@@ -87,17 +87,44 @@ def test_mixing_targets_and_copies(docs, texts, spark):
     assert mixing.mix(docs).count() == sum(r["copies"] for r in rows)
 
 
-def test_mixing_is_near_its_targets(spark):
-    texts = [(i, "w " * (5 + i % 40), f"s{i % 7}") for i in range(3000)]
+def test_mixing_takes_extra_copies_as_often_as_the_fraction_says(spark):
+    texts = [(i, "w " * (5 + i % 40), f"s{i % 7}") for i in range(6000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
-    taken, target = collections.Counter(), {}
-    for r in mixing.plan(docs).collect():
-        taken[r["source"]] += r["size"] * r["copies"]
-        target[r["source"]] = r["target"]
-    assert all(abs(taken[s] / target[s] - 1) < 0.02 for s in target)
+    rows = mixing.plan(docs).collect()
+    for source in {r["source"] for r in rows}:
+        mine = [r for r in rows if r["source"] == source]
+        rate = mine[0]["target"] / mine[0]["source_size"]
+        fraction = rate - math.floor(rate)
+        extra = sum(r["copies"] - math.floor(rate) for r in mine)
+        assert abs(extra - len(mine) * fraction) <= 4 * math.sqrt(len(mine) * fraction * (1 - fraction)) + 1e-6
+        words = sum(r["size"] * r["copies"] for r in mine)
+        assert abs(words / mine[0]["target"] - 1) < 0.1
     assert mixing.plan(docs).exceptAll(mixing.plan(docs)).isEmpty()
 
 
+@pytest.mark.parametrize(("sizes", "want"), [([10] * 6, [5, 10, 15] * 2), ([10, 20, 30], [10, 20, 30]), ([1, 1, 100], [3, 3, 96]), ([0, 0], [0, 0])])
+def test_mixing_targets_where_sources_tie(spark, sizes, want):
+    table = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = [r["target"] for r in mixing.targets(table).orderBy("source").collect()]
+    assert got == pytest.approx(want)
+    assert sum(got) == pytest.approx(sum(sizes))
+
+
+def test_mixing_equals_its_sql(spark, data, docs, texts, tmp_path):
+    import duckdb
+
+    clash = docs.withColumns({"did": F.lit("a"), "digest": F.lit("b"), "copies": F.lit("c"), "copy": F.lit("d")})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == mixing.mix(docs).count()
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (data, str(tmp_path)):
+        db = duckdb.connect()
+        source = f"{folder}/documents.parquet"
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{source}{'/*.parquet' if folder != data else ''}'")
+        order = lambda rows: sorted(tuple((v is None, v) for v in r) for r in rows)
+        want = order(db.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP4_SQL})").fetchall())
+        assert order(map(tuple, mixing.op4_mixing(spark, folder).collect())) == want
+
+
 def test_language_model_base_and_gain(docs, texts, spark, data):
     rows = {null_first(r["doc_id"]): r for r in language_model.score(docs, language_model.train(docs, rounds=1)).collect()}
     tokens = [(null_first(i), (t or "").encode().lower().split() + [b"\n"]) for i, t in texts]

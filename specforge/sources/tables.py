@@ -234,12 +234,12 @@ gold_ AS (
          CASE WHEN spec_item_id % 29 = 0 THEN 'сомнительно' WHEN line_number % 5 = 4 THEN 'Не найдено' WHEN line_number % 5 = 3 THEN 'аналог' ELSE 'найдено' END AS label_status,
          1700000000 + spec_item_id % 5000 AS created_s
   FROM spec_items_ JOIN parts_ USING (partkey)),
-stored_ AS (
-  SELECT i.*, k.key_, 1700000000 + k.key_ % 1000 AS created_s,
-         CASE WHEN source_id <> 'catalog' AND k.key_ % 4 = 0 THEN 'OLD-' || lpad(k.key_::varchar, 6, '0') END AS supplier_sku,
-         CASE WHEN source_id <> 'catalog' AND k.key_ % 10 = 0 THEN 'c1' WHEN source_id <> 'catalog' AND k.key_ % 10 = 1 THEN 'c2' END AS linked_catalog_item_id,
-         CASE WHEN source_id <> 'catalog' AND k.key_ % 10 = 0 THEN 'manual' WHEN source_id <> 'catalog' AND k.key_ % 10 = 1 THEN 'auto' END AS catalog_link_source
-  FROM items_ i, LATERAL (SELECT regexp_extract(i.item_id, '^[cp]([0-9]+)', 1)::bigint AS key_) k),
+stored_ AS MATERIALIZED (
+  SELECT *, 1700000000 + key_ % 1000 AS created_s,
+         CASE WHEN source_id <> 'catalog' AND key_ % 4 = 0 THEN 'OLD-' || lpad(key_::varchar, 6, '0') END AS supplier_sku,
+         CASE WHEN source_id <> 'catalog' AND key_ % 10 = 0 THEN 'c1' WHEN source_id <> 'catalog' AND key_ % 10 = 1 THEN 'c2' END AS linked_catalog_item_id,
+         CASE WHEN source_id <> 'catalog' AND key_ % 10 = 0 THEN 'manual' WHEN source_id <> 'catalog' AND key_ % 10 = 1 THEN 'auto' END AS catalog_link_source
+  FROM (SELECT *, split_part(substr(item_id, 2), '-', 1)::bigint AS key_ FROM items_)),
 new_lists_ AS (
   SELECT 'S' || suppkey AS source_id, partkey * 2 + copy AS line_number,
          CASE WHEN partkey % 6 = 5 THEN 'NEW-' || partkey ELSE article END AS article_raw, NULL::varchar AS code_1c,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..plans.similarity_join import containment_join, digit_substring_join, first_rows, set_similarity_join
+from ..plans.storage import settled
 
 POOL = 20
 ARTICLE_SIMILARITY, NAME_SIMILARITY = 0.4, 0.3
@@ -70,12 +71,15 @@ def fuzzy_article(queries: DataFrame, items: DataFrame, threshold: float = ARTIC
 def lexical_hits(queries: DataFrame, items: DataFrame, threshold: float = NAME_SIMILARITY) -> DataFrame:
     """(query, key, score) over distinct names: all stems of the query present, or alike by trigrams; the score is the
     larger of the similarity and the rank of the stems."""
-    left = _distinct_sets(queries, "query", S.trigrams(F.col("id")))
-    right = _distinct_sets(items, "name_normalized", S.trigrams(F.col("id")))
-    alike = set_similarity_join(left, right, threshold).select("left_id", "right_id", "score")
-    held = containment_join(left.select("id", S.stems(F.col("id")).alias("members")), right.select("id", S.stems(F.col("id")).alias("members")))
-    rank = S.text_rank(S.stems(F.col("left_id")), S.stems(F.col("right_id")))
-    held = held.select("left_id", "right_id", F.greatest(rank, S.similarity(F.col("left_id"), F.col("right_id"))).alias("score"))
+    left, right = (
+        settled(_distinct_sets(df, column, S.trigrams(F.col("id"))).withColumn("stems", S.stems(F.col("id")))) for df, column in ((queries, "query"), (items, "name_normalized"))
+    )
+    alike = set_similarity_join(left.select("id", "members"), right.select("id", "members"), threshold).select("left_id", "right_id", "score")
+    held = containment_join(left.select("id", F.col("stems").alias("members")), right.select("id", F.col("stems").alias("members")))
+    facts = lambda df, k: df.select(F.col("id").alias(f"{k}_id"), F.col("stems").alias(f"{k}_stems"), F.col("members").alias(f"{k}_grams"))
+    held = held.join(facts(left, "left"), "left_id").join(facts(right, "right"), "right_id")
+    rank = S.text_rank(F.col("left_stems"), F.col("right_stems"))
+    held = held.select("left_id", "right_id", F.greatest(rank, S.jaccard(F.col("left_grams"), F.col("right_grams"))).alias("score"))
     both = alike.unionByName(held).groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
     return both.select(F.col("left_id").alias("query"), F.col("right_id").alias("key"), "score")
 

@@ -7,6 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import digit_grams, jaccard
+from .storage import settled
+
+#: Members that count as common: those in more than this share of the right side's sets, so many of them at most. They
+#: only bound the overlap of a pair.
+COMMON_SHARE, COMMON = 0.01, 512
+#: Parts into which the common members are dealt; how many of each part two sets hold bounds what they share.
+PARTS = 8
+
+
+def _frequencies(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("members").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _by_rarity(sets: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -16,27 +27,73 @@ def _by_rarity(sets: DataFrame, frequencies: DataFrame) -> DataFrame:
     return weighed.groupBy("id").agg(F.array_sort(F.collect_list("m")).alias("m")).withColumn("n", F.size("m"))
 
 
-def _prefixes(ordered: DataFrame, threshold: float) -> DataFrame:
-    length = F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 6)).cast("int") + 1
-    return ordered.select("id", "n", F.explode(F.slice("m", 1, length)).alias("m")).select("id", "n", F.col("m.gram").alias("gram"))
+def _split(sets: DataFrame, common: list[str]) -> DataFrame:
+    """id, no (a number in place of the id), members, n, common members in the order given, rare members, f (how many are
+    common), held (how many of each part, a byte each)."""
+    literal = lambda grams: F.split(F.lit("\x1f".join(grams)), "\x1f") if grams else F.array().cast("array<string>")
+    listed = literal(common)
+    out = sets.filter(F.size("members") > 0).select("id", F.monotonically_increasing_id().alias("no"), "members", F.size("members").alias("n"))
+    out = out.withColumn("common", F.array_intersect(listed, "members")).withColumn("rare", F.array_except("members", "common"))
+    held = sum((F.size(F.array_intersect("common", literal(common[k::PARTS]))).cast("long") * F.lit(1 << k * (64 // PARTS)) for k in range(PARTS)), F.lit(0).cast("long"))
+    return settled(out.withColumn("f", F.size("common")).withColumn("held", held))
+
+
+def _shareable(a: str, b: str) -> Column:
+    """How many common members two sets can share at most."""
+    part = lambda c, k: F.shiftrightunsigned(c, k * (64 // PARTS)).bitwiseAND(F.lit(2 ** (64 // PARTS) - 1))
+    return sum((F.least(part(a, k), part(b, k)) for k in range(1, PARTS)), F.least(part(a, 0), part(b, 0)))
+
+
+def _overlap(na: str, nb: str, threshold: float) -> Column:
+    """What two sets of these sizes must have in common."""
+    return (F.col(na) + F.col(nb)) * F.lit(threshold / (1 + threshold)) - 1e-6
+
+
+def _by_rare_members(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (i, j) with a rare member in common whose rare members in common, with all common members that both could
+    share, are enough."""
+    x = a.select(F.col("no").alias("i"), F.col("n").alias("na"), F.col("held").alias("ha"), F.explode("rare").alias("gram"))
+    y = b.select(F.col("no").alias("j"), F.col("n").alias("nb"), F.col("held").alias("hb"), F.explode("rare").alias("gram"))
+    sized = (F.col("nb") >= F.col("na") * threshold - 1e-6) & (F.col("na") >= F.col("nb") * threshold - 1e-6)
+    met = x.join(y, "gram").filter(sized).groupBy("i", "j", "na", "nb", "ha", "hb").agg(F.count(F.lit(1)).alias("shared"))
+    return met.filter(F.col("shared") + _shareable("ha", "hb") >= _overlap("na", "nb", threshold)).select("i", "j")
+
+
+def _by_common_members(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (i, j) whose common members alone are enough. Sets with the same common members and size are one; only
+    those with so many of them can have such a partner."""
+
+    def side(df: DataFrame, no: str, n: str, c: str, at: str) -> tuple[DataFrame, DataFrame]:
+        able = df.filter(F.col("f") >= F.col("n") * threshold - 1e-6)
+        kinds = able.select(F.col("common").alias(c), F.col("n").alias(n)).distinct()
+        # the first common member of such a pair, in any order that both follow, leaves enough behind it
+        prefix = F.slice(c, 1, F.size(c) - F.ceil(F.col(n) * threshold - 1e-6).cast("int") + 1)
+        return able.select(F.col("no").alias(no), F.col("common").alias(c), F.col("n").alias(n)), kinds.select(c, n, F.posexplode(prefix).alias(at, "gram"))
+
+    left, x = side(a, "i", "na", "ca", "pa")
+    right, y = side(b, "j", "nb", "cb", "pb")
+    behind = F.least(F.size("ca") - F.col("pa"), F.size("cb") - F.col("pb"))
+    kinds = x.join(y, "gram").filter(behind >= _overlap("na", "nb", threshold)).select("ca", "na", "cb", "nb").distinct()
+    kinds = kinds.filter(F.size(F.array_intersect("ca", "cb")) >= _overlap("na", "nb", threshold))
+    return left.join(kinds, ["ca", "na"]).join(right, ["cb", "nb"]).select("i", "j")
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs (left_id, right_id, score) of sets (id, members) whose Jaccard similarity is at least the threshold.
 
-    If two sets are that similar, the rarest n - ceil(threshold * n) + 1 members of each have one in common, so only
-    these meet in an equality join; sizes must fit as well, and the rest is verified. No pair is lost. Empty sets match
-    nothing; ids must be unique on each side.
+    Members in most sets bring no pair together: either the rare members that two sets share, with all common ones that
+    both could share, are as many as the sizes imply, or the common ones alone are. Both kinds of pairs come from
+    equality joins, and the few that remain are verified. No pair is lost. Empty sets match nothing; ids must be unique
+    on each side.
     """
-    frequencies = right.select(F.explode("members").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    a = _prefixes(_by_rarity(left, frequencies), threshold).select(F.col("id").alias("left_id"), F.col("n").alias("a"), "gram")
-    b = _prefixes(_by_rarity(right, frequencies), threshold).select(F.col("id").alias("right_id"), F.col("n").alias("b"), "gram")
-    fits = (F.col("b") >= F.col("a") * threshold - 1e-6) & (F.col("a") >= F.col("b") * threshold - 1e-6)
-    pairs = a.join(b, "gram").filter(fits).select("left_id", "right_id").distinct()
+    ranked = _frequencies(right).filter(F.col("df") > COMMON_SHARE * right.count()).orderBy(F.desc("df"), "gram").limit(COMMON)
+    common = [r["gram"] for r in ranked.collect()][::-1]  # rarest first
+    a, b = _split(left, common), _split(right, common)
+    pairs = settled(_by_rare_members(a, b, threshold).unionByName(_by_common_members(a, b, threshold)).distinct())
     score = jaccard(F.col("x"), F.col("y"))
     return (
-        pairs.join(left.select(F.col("id").alias("left_id"), F.col("members").alias("x")), "left_id")
-        .join(right.select(F.col("id").alias("right_id"), F.col("members").alias("y")), "right_id")
+        pairs.join(a.select(F.col("no").alias("i"), F.col("id").alias("left_id"), F.col("members").alias("x")), "i")
+        .join(b.select(F.col("no").alias("j"), F.col("id").alias("right_id"), F.col("members").alias("y")), "j")
         .select("left_id", "right_id", score.alias("score"))
         .filter(F.col("score") >= threshold - 1e-9)
     )
@@ -45,7 +102,7 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) ->
 def containment_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (left_id, right_id) where the right set holds every member of the left one (id, members). Each left set is
     looked up by its rarest member only. Empty left sets match nothing."""
-    frequencies = right.select(F.explode("members").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = _frequencies(right)
     rarest = _by_rarity(left, frequencies).select(F.col("id").alias("left_id"), F.element_at("m", 1)["gram"].alias("gram"))
     found = right.select(F.col("id").alias("right_id"), F.explode("members").alias("gram"), F.col("members").alias("y"))
     return (

@@ -3,12 +3,14 @@
 import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from specforge.functions import similarity as S
 from specforge.operators import search as E
+from specforge.plans import similarity_join
 from specforge.plans.similarity_join import containment_join, digit_substring_join, set_similarity_join
 from specforge.sources import tables as D
 
@@ -17,10 +19,12 @@ def table(spark, sets):
     return spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, members array<string>")
 
 
-def test_set_similarity_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("common", [0, 5, 512])
+def test_set_similarity_join_equals_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(similarity_join, "COMMON", common)
     r = random.Random(7)
     left, right = ([{r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 9))} for _ in range(60)] for _ in range(2))
-    for t in (0.3, 0.4, 0.5, 0.8):
+    for t in (0.3, 0.5, 0.8):
         want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.product(enumerate(left), enumerate(right)) if a | b and len(a & b) / len(a | b) >= t}
         got = {(x["left_id"], x["right_id"]): x["score"] for x in set_similarity_join(table(spark, left), table(spark, right), t).collect()}
         assert got == want

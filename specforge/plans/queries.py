@@ -414,12 +414,32 @@ def e1(spark, d):
     return E.exact_article(_articles(spark, d), _pooled(spark, d)).select("query", "item_id")
 
 
-@query("e2_fuzzy_article")
+def _alike_sql(name: str, asked: str, known: str, threshold: float) -> str:
+    """CTE `name` (query, key, score): all pairs of the values of two tables of one column that share enough trigrams."""
+    grams = lambda c: _GRAMS.format(c)
+    return f""", {name}_q AS (SELECT row_number() OVER () AS i, v, {grams('v')} AS g FROM {asked}), {name}_k AS (SELECT row_number() OVER () AS j, v, {grams('v')} AS g FROM {known}),
+ {name}_p AS (SELECT i, j, na, nb, count(*) AS c FROM (SELECT i, len(g) AS na, unnest(g) AS w FROM {name}_q) JOIN (SELECT j, len(g) AS nb, unnest(g) AS w FROM {name}_k) USING (w)
+   WHERE nb >= {threshold} * na AND na >= {threshold} * nb GROUP BY ALL HAVING count(*)::double / (na + nb - count(*)) >= {threshold}::double - 1e-9),
+ {name} AS (SELECT q.v AS query, k.v AS key, c::double / (na + nb - c) AS score FROM {name}_p JOIN {name}_q q USING (i) JOIN {name}_k k USING (j))"""
+
+
+def _best_sql(name: str, hits: str, column: str) -> str:
+    return f", {name} AS (SELECT query, item_id, score FROM {hits} JOIN pooled ON {column} = key QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, name, item_id) <= 20)"
+
+
+_NAMES_SQL = f""", asked_names AS (SELECT DISTINCT lower(name) AS v FROM denoised WHERE name IS NOT NULL), known_names AS (SELECT DISTINCT name_normalized AS v FROM pooled WHERE name_normalized IS NOT NULL){_alike_sql('alike', 'asked_names', 'known_names', E.NAME_SIMILARITY)},
+ qs AS (SELECT v, {_STEMS.format('v', S.STOP_WORDS, _RU)} AS s FROM asked_names), ks AS (SELECT v, {_STEMS.format('v', S.STOP_WORDS, _RU)} AS s FROM known_names),
+ held AS (SELECT query, key, any_value(nq) AS nq, any_value(nk) AS nk FROM (SELECT v AS query, len(s) AS nq, unnest(s) AS w FROM qs) JOIN (SELECT v AS key, len(s) AS nk, unnest(s) AS w FROM ks) USING (w) GROUP BY 1, 2 HAVING count(*) = any_value(nq)),
+ held_scores AS (SELECT query, key, 1e-1 * nq / nk AS r, len(list_intersect(q.g, k.g))::double / len(list_distinct(list_concat(q.g, k.g))) AS sim FROM held JOIN alike_q q ON q.v = query JOIN alike_k k ON k.v = key),
+ name_hits AS (SELECT query, key, max(score) AS score FROM (SELECT query, key, score FROM alike UNION ALL SELECT query, key, greatest(r / (r + 1), sim) FROM held_scores) GROUP BY 1, 2){_best_sql('lexical', 'name_hits', 'name_normalized')}"""
+
+
+@query("e2_fuzzy_article", _EXACT + ", asked_articles AS (SELECT query AS v FROM asked), known_articles AS (SELECT DISTINCT article_normalized AS v FROM pooled WHERE article_normalized IS NOT NULL)" + _alike_sql("near", "asked_articles", "known_articles", E.ARTICLE_SIMILARITY) + _best_sql("fuzzy", "near", "article_normalized") + " SELECT query, item_id, round(score, 6) AS score FROM fuzzy")
 def e2(spark, d):
     return E.fuzzy_article(_articles(spark, d), settled(_pooled(spark, d))).withColumn("score", F.round("score", 6))
 
 
-@query("e3_lexical_name")
+@query("e3_lexical_name", f", {_DENOISED}" + _POOLED + _NAMES_SQL + " SELECT query, item_id, round(score, 6) AS score FROM lexical")
 def e3(spark, d):
     asked = D.spec_items(spark, d).select(T.lexical_query(F.col("name_raw"), F.col("attributes_raw")).alias("query")).distinct()
     return E.lexical_name(asked, settled(_pooled(spark, d))).withColumn("score", F.round("score", 6))
@@ -489,10 +509,131 @@ def f2(spark, d):
     return inputs.select("spec_item_id", "qid").join(ranked, "qid").select("spec_item_id", "item_id", F.col("confidence").cast("double").alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("f13_match")
+def _round_sql(x: str, digits: int) -> str:
+    """Half up on the shortest decimal that reads back as the double, as Spark rounds."""
+    return f"round((({x})::double)::varchar::decimal(38,18), {digits})"
+
+
+_CANDS = _CANDIDATES.format("name_raw")
+#: The whole match over the item store: channels, merged hits, scores, ranks, promoted cards. The stages are named as the functions are.
+_MATCH_SQL = f""", {_DENOISED}, pooled AS (SELECT i.*, source_type FROM stored_ i JOIN sources_ USING (source_id) WHERE is_active AND status = 'active'),
+ known_brands AS (SELECT DISTINCT manufacturer_normalized AS brand FROM pooled WHERE length(manufacturer_normalized) >= 3 AND NOT regexp_matches(manufacturer_normalized, '[^\p{{L}}\p{{N}}_]')),
+ named AS (SELECT spec_item_id, arg_min(brand, pos) AS found FROM (SELECT spec_item_id, unnest(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+')) AS brand, generate_subscripts(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+'), 1) AS pos FROM spec_items_ WHERE manufacturer_raw IS NULL) JOIN known_brands USING (brand) GROUP BY 1),
+ lines AS (SELECT spec_item_id, {article('article_raw')} AS article, lower(denoised.name) AS lexical_query, name_raw, coalesce(lower(trim(manufacturer_raw)), found) AS brand, lower(trim(unit_raw)) AS unit FROM spec_items_ JOIN denoised USING (spec_item_id) LEFT JOIN named USING (spec_item_id)),
+ all_articles AS (SELECT article_normalized AS code, item_id FROM pooled WHERE article_normalized IS NOT NULL QUALIFY row_number() OVER (PARTITION BY article_normalized ORDER BY source_type, name, item_id) <= 20),
+ exact_hits AS (SELECT spec_item_id, item_id FROM lines JOIN all_articles ON article = code),
+ rest AS (SELECT * FROM lines ANTI JOIN exact_hits USING (spec_item_id)),
+ mined AS (SELECT spec_item_id, unnest(list_distinct({_CANDS})) AS code FROM rest WHERE article IS NULL),
+ mined_exact AS (SELECT spec_item_id, code, item_id FROM mined JOIN all_articles USING (code)),
+ mined_left AS (SELECT * FROM mined ANTI JOIN mined_exact USING (spec_item_id, code)),
+ asked_articles AS (SELECT article AS v FROM rest WHERE article IS NOT NULL UNION SELECT code FROM mined_left), known_articles AS (SELECT DISTINCT article_normalized AS v FROM pooled WHERE article_normalized IS NOT NULL){_alike_sql('near', 'asked_articles', 'known_articles', E.ARTICLE_SIMILARITY)}{_best_sql('fuzzy', 'near', 'article_normalized')}{_NAMES_SQL.replace("FROM denoised WHERE name IS NOT NULL", "FROM denoised SEMI JOIN rest USING (spec_item_id) WHERE name IS NOT NULL")},
+ tokens AS (SELECT spec_item_id, unnest(list_distinct(regexp_extract_all(name_raw, '[0-9]{{5,}}'))) AS code FROM rest),
+ token_hits AS (SELECT query, name_normalized AS key, 1.0::double AS score FROM (SELECT DISTINCT code AS query FROM tokens) JOIN (SELECT DISTINCT name_normalized FROM pooled WHERE regexp_matches(name_normalized, '[0-9]{{5}}')) ON contains(name_normalized, query)){_best_sql('in_names', 'token_hits', 'name_normalized')},
+ hits AS (SELECT spec_item_id, item_id, 'exact' AS channel, 1.0::double AS score, NULL AS code FROM exact_hits
+   UNION ALL SELECT spec_item_id, item_id, 'fuzzy', score, NULL FROM rest JOIN fuzzy ON query = article
+   UNION ALL SELECT spec_item_id, item_id, 'lexical', score, NULL FROM rest JOIN lexical ON query = lexical_query
+   UNION ALL SELECT spec_item_id, item_id, 'code_exact', 1.0, code FROM mined_exact
+   UNION ALL SELECT spec_item_id, item_id, 'code_fuzzy', score, code FROM mined_left JOIN fuzzy ON query = code
+   UNION ALL SELECT spec_item_id, item_id, 'code_name', 1.0, code FROM tokens JOIN in_names ON query = code),
+ merged AS (SELECT spec_item_id, item_id, coalesce(max(score) FILTER (channel = 'exact'), 0) AS exact, coalesce(max(score) FILTER (channel = 'fuzzy'), 0) AS fuzzy, coalesce(max(score) FILTER (channel = 'lexical'), 0) AS lexical,
+   max(score) FILTER (channel = 'code_exact') AS c_exact, max(score) FILTER (channel = 'code_fuzzy') AS c_fuzzy, max(score) FILTER (channel = 'code_name') AS c_name,
+   min({{'s': -CASE channel WHEN 'code_exact' THEN 3.0 WHEN 'code_fuzzy' THEN 1.0 + score ELSE 1.0 END, 'code': code}}) FILTER (code IS NOT NULL) AS coded FROM hits GROUP BY 1, 2),
+ facts AS (SELECT m.*, p.source_type, p.name, l.article, coalesce(lower(trim(l.brand)) = lower(trim(p.manufacturer_normalized)) AND trim(l.brand) <> '', false) AS brand_match,
+   coalesce(lower(trim(l.unit)) = lower(trim(p.unit)) AND trim(l.unit) <> '', false) AS unit_match,
+   CASE WHEN exact >= 1 THEN 'none' WHEN c_exact >= 1 THEN 'exact' WHEN c_name >= 1 THEN 'in_name' WHEN c_fuzzy > 0 THEN 'fuzzy' ELSE 'none' END AS how
+   FROM merged m JOIN pooled p USING (item_id) JOIN lines l USING (spec_item_id)),
+ scored AS (SELECT *, CASE WHEN exact >= 1 THEN 0.95::double + CASE WHEN brand_match THEN 0.03 ELSE 0 END::double + CASE WHEN unit_match THEN 0.02 ELSE 0 END::double
+   ELSE CASE WHEN article IS NOT NULL THEN 0.5::double * fuzzy + 0.5::double * lexical ELSE lexical END + CASE WHEN brand_match THEN 0.1 ELSE 0 END::double + CASE WHEN unit_match THEN 0.05 ELSE 0 END::double
+     + CASE how WHEN 'exact' THEN 0.25::double WHEN 'in_name' THEN 0.18::double WHEN 'fuzzy' THEN 0.12::double * c_fuzzy ELSE 0 END END AS total FROM facts),
+ typed AS (SELECT spec_item_id, item_id, source_type, name, {_round_sql('greatest(0, least(1, total))', 4)}::decimal(5,4) AS confidence,
+   CASE WHEN exact >= 1 THEN 'exact_article' WHEN fuzzy > 0 THEN CASE WHEN fuzzy >= lexical THEN 'fuzzy_article' ELSE 'lexical' END WHEN how <> 'none' AND lexical < 0.5 THEN 'fuzzy_article' ELSE 'lexical' END AS match_type,
+   concat_ws(', ', CASE WHEN exact >= 1 THEN 'артикул совпал точно' WHEN fuzzy > 0 THEN 'артикул похож (similarity=' || {_round_sql('fuzzy', 6)}::decimal(10,6)::decimal(4,2)::varchar || ')' END,
+     CASE how WHEN 'exact' THEN 'код из наименования совпал (' || coded.code || ')' WHEN 'in_name' THEN 'код найден в наименовании каталога (' || coded.code || ')' WHEN 'fuzzy' THEN 'код из наименования похож' END,
+     CASE WHEN lexical > 0 THEN 'наименование близко (score=' || {_round_sql('lexical', 6)}::decimal(10,6)::decimal(4,2)::varchar || ')' END,
+     CASE WHEN brand_match THEN 'совпал бренд' END, CASE WHEN unit_match THEN 'совпала единица измерения' END) AS why FROM scored),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY spec_item_id, source_type ORDER BY confidence DESC, name, item_id) AS rank FROM typed QUALIFY rank <= 5),
+ own_cards AS (SELECT * FROM ranked WHERE source_type = 'company_catalog'),
+ promoted AS (SELECT spec_item_id, card_id AS item_id, 'company_catalog' AS source_type, c.name, b.confidence, 'hybrid' AS match_type, b.why
+   FROM (SELECT spec_item_id, s.linked_catalog_item_id AS card_id, arg_max({{'confidence': confidence, 'why': why}}, {{'confidence': confidence, 'item_id': r.item_id}}) AS b
+         FROM ranked r JOIN stored_ s USING (item_id) WHERE source_type = 'supplier_pricelist' AND s.linked_catalog_item_id IS NOT NULL GROUP BY 1, 2)
+   JOIN stored_ c ON c.item_id = card_id AND c.is_active WHERE (spec_item_id, card_id) NOT IN (SELECT (spec_item_id, item_id) FROM own_cards)),
+ cards_again AS (SELECT spec_item_id, item_id, source_type, name, confidence, match_type, why, row_number() OVER (PARTITION BY spec_item_id ORDER BY confidence DESC, name, item_id) AS rank
+   FROM (SELECT spec_item_id, item_id, source_type, name, confidence, match_type, why FROM own_cards UNION ALL SELECT * FROM promoted) QUALIFY rank <= 5),
+ matched AS (SELECT spec_item_id, item_id, source_type, confidence, match_type, rank, CASE WHEN why = '' THEN 'слабое совпадение' ELSE upper(left(why, 1)) || substr(why, 2) END AS why FROM cards_again
+   UNION ALL SELECT spec_item_id, item_id, source_type, confidence, match_type, rank, CASE WHEN why = '' THEN 'слабое совпадение' ELSE upper(left(why, 1)) || substr(why, 2) END FROM ranked WHERE source_type = 'supplier_pricelist')"""
+
+
+def _matched(spark, d):
+    return M.match(D.spec_items(spark, d), D.stored_items(spark, d), D.sources(spark, d))
+
+
+@query("f13_match", _MATCH_SQL + " SELECT spec_item_id, item_id, source_type, rank, confidence::double AS confidence, match_type, why AS human_readable FROM matched")
 def f13(spark, d):
-    found = M.match(D.spec_items(spark, d), D.stored_items(spark, d), D.sources(spark, d))
-    return found.select("spec_item_id", "item_id", "source_type", "rank", F.col("confidence").cast("double").alias("confidence"), "match_type", "human_readable")
+    return _matched(spark, d).select("spec_item_id", "item_id", "source_type", F.col("rank").cast("long").alias("rank"), F.col("confidence").cast("double").alias("confidence"), "match_type", "human_readable")
+
+
+def _hits(spark, d):
+    """Lines, their queries, the pool and the hits of all channels."""
+    lines = settled(M.match_inputs(D.spec_items(spark, d)))
+    queries = settled(lines.drop("spec_item_id").dropDuplicates(["qid"]))
+    pooled = settled(E.searchable(D.stored_items(spark, d), D.sources(spark, d)).select(*M.POOLED))
+    return lines.select("spec_item_id", "qid"), queries, pooled, settled(M.all_hits(queries, pooled))
+
+
+@query("f4_channel_hits", _MATCH_SQL + " SELECT spec_item_id, item_id, channel, round(score, 6) AS score, code FROM hits")
+def f4(spark, d):
+    lines, _, _, hits = _hits(spark, d)
+    return lines.join(hits, "qid").select("spec_item_id", "item_id", "channel", F.round("score", 6).alias("score"), "code")
+
+
+@query("f6_merged_hits", _MATCH_SQL + " SELECT spec_item_id, item_id, round(exact, 6) AS exact, round(fuzzy, 6) AS fuzzy, round(lexical, 6) AS lexical, coded.code AS code FROM merged")
+def f6(spark, d):
+    lines, _, _, hits = _hits(spark, d)
+    score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    return lines.join(M.merge_hits(hits), "qid").select("spec_item_id", "item_id", *map(score, ("exact", "fuzzy", "lexical")), F.col("coded.code").alias("code"))
+
+
+@query("f10_scored_hits", _MATCH_SQL + " SELECT spec_item_id, item_id, confidence::double AS confidence, match_type, md5(why) AS why FROM typed WHERE why <> ''")
+def f10(spark, d):
+    """Every merged hit with its score, type and explanation, before ranks cut them."""
+    lines, queries, pooled, hits = _hits(spark, d)
+    scored = M.score(M.merge_hits(hits), queries, M.detect_brands(queries, pooled), pooled)
+    why = T.explanation_text(F.col("explanation"))
+    lowered = F.concat(F.lower(F.substring(why, 1, 1)), F.substring(why, F.lit(2), F.length(why)))
+    return lines.join(scored.filter(why != "слабое совпадение"), "qid").select("spec_item_id", "item_id", F.col("confidence").cast("double").alias("confidence"), "match_type", F.md5(lowered.cast("binary")).alias("why"))
+
+
+@query("f12_promoted_cards", _MATCH_SQL + " SELECT spec_item_id, item_id, rank, confidence::double AS confidence FROM matched WHERE match_type = 'hybrid'")
+def f12(spark, d):
+    return _matched(spark, d).filter("match_type = 'hybrid'").select("spec_item_id", "item_id", F.col("rank").cast("long").alias("rank"), F.col("confidence").cast("double").alias("confidence"))
+
+
+_CONFIRMED_SQL = ", confirmed AS (SELECT * FROM candidates_ WHERE spec_item_id % 3 = 0)"
+
+
+def _rematched(spark, d):
+    """The stored candidates after all lines were matched again but every third, which is confirmed."""
+    lines, stored = D.spec_items(spark, d), D.candidates(spark, d)
+    done = lines.filter("spec_item_id % 3 = 0").select("spec_item_id", F.lit("confirmed").alias("decision"))
+    return M.rematch_open(lines, D.stored_items(spark, d), D.sources(spark, d), stored, done)[0]
+
+
+@query("f14_rematch_open", _MATCH_SQL + _CONFIRMED_SQL + " SELECT spec_item_id, item_id, confidence::double AS confidence, match_type FROM confirmed UNION ALL SELECT spec_item_id, item_id, confidence::double, match_type FROM matched WHERE spec_item_id % 3 <> 0")
+def f14(spark, d):
+    return _rematched(spark, d).select("spec_item_id", "item_id", F.col("confidence").cast("double").alias("confidence"), "match_type")
+
+
+_BANDED = "count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence < 0.9 AND confidence >= 0.5) AS mid, count(*) FILTER (confidence < 0.5) AS low, max(confidence)::double AS best"
+
+
+@query("f15_band_changes", _MATCH_SQL + _CONFIRMED_SQL + f", after_ AS (SELECT confidence, rank FROM confirmed UNION ALL SELECT confidence, rank FROM matched WHERE spec_item_id % 3 <> 0) SELECT 'before' AS moment, {_BANDED} FROM candidates_ WHERE rank = 1 UNION ALL SELECT 'after', {_BANDED} FROM after_ WHERE rank = 1")
+def f15(spark, d):
+    return M.band_changes(D.candidates(spark, d), settled(_rematched(spark, d))).withColumn("best", F.col("best").cast("double"))
+
+
+@query("f16_persisted", _MATCH_SQL + " SELECT spec_item_id, item_id, confidence::double AS confidence, match_type, rank FROM matched")
+def f16(spark, d):
+    return M.persisted(_matched(spark, d)).select("spec_item_id", "item_id", F.col("confidence").cast("double").alias("confidence"), "match_type", F.col("rank").cast("long").alias("rank"))
 
 
 _EXPLAINED = "CASE WHEN rank = 1 THEN 'Артикул совпал точно' ELSE 'Наименование близко (score=' || round(confidence, 2)::decimal(3,2)::varchar || ')' END"

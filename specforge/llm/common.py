@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a missing doc_id inside the operators; it sorts before every other id.
 NO_ID = -(2**63)
+#: Rows that Spark hands to a Python worker at once. Spark's own 10,000 whole texts, held in several copies on the way,
+#: would take hundreds of MB of an executor.
+BATCH_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,13 @@ def settle(df: DataFrame) -> DataFrame:
     return _written(df)[1]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per batch to BATCH_ROWS; a lower setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 class Scratch:
     """Settled tables that are deleted together after their last use."""
 

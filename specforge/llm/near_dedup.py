@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_back, id_key, settle, text_of
-from .links import WordHashes, link, mix, set_key, shingles, whole
+from .common import Scratch, aside, documents, id_back, id_key, settle, small_batches, text_of
+from .links import Sets, link, mix, pieces, whole
 
 #: Registers (a prime), base of the spacing, rate, and largest value.
 M, BASE, RATE, TOP = 241, 1.001, 20.0, 65534
 #: Bands of registers: at a similarity of 0.8 a pair shares none with a probability of 5e-6.
 BANDS, ROWS = 40, 6
-#: Pairs are screened out when their likeliest similarity is so far below the one asked for (about 8 standard errors).
-SLACK = 0.2
+#: Pairs are screened out when their likeliest similarity is so far below the one asked for (about 6 standard errors).
+SLACK = 0.15
 
 _GAMMA = np.append(np.log1p(np.arange(M) / (M - np.arange(M))) / RATE, np.inf)
 
@@ -80,45 +80,39 @@ def likeliest(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, step
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingles(t.encode().lower().split(), size, hashes) for t in part.column("text").to_pylist()]
-                sizes = np.array([len(s) for s in sets])
-                registers = sketch(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
-                bands = bands_of(registers)
-                bands_ends = np.cumsum(np.concatenate(([0], np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
+            for first, texts in pieces(batch.column("text")):
+                hashes, unit, units, _ = whole(texts)
+                sets = Sets(hashes, unit, units, size)
+                registers = sketch(sets.values, sets.owner, units)
+                ends = pa.array(np.cumsum(np.concatenate(([0], np.where(sets.n > 0, BANDS, 0)))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("did"),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array([set_key(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(bands_ends), pa.array(bands[sizes > 0].reshape(-1))),
+                        batch.column("did").slice(first, units),
+                        pa.array(sets.n.astype(np.int64)),
+                        pa.array(sets.key),
+                        pa.ListArray.from_arrays(ends, pa.array(bands_of(registers)[sets.n > 0].reshape(-1))),
                         pa.array([r.tobytes() for r in registers], pa.binary()),
                     ],
-                    names=["did", "n", "k", "bands", "registers"],
+                    names=["did", "n", "k", "bands", "sketch"],
                 )
 
     return run
 
 
-def _screen(units: DataFrame, percent: int):
+def _unlike(percent: int):
+    """Drops pairs that are not alike by the likelihood of their registers, but keeps those that other nodes depend on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 u, v = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ru", "rv"))
                 near = likeliest(u, v, part.column("nu").to_numpy(), part.column("nv").to_numpy()) >= percent / 100 - SLACK
-                yield part.select(["a", "b"]).filter(pa.array(near))
-
-    def screen(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-        held = settle(units.select("k", "n", "registers").join(nodes, "k", "left_semi").dropDuplicates(["k"]))
-        side = lambda node, x: held.select(F.col("k").alias(node), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-        return pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").mapInArrow(run, "a long, b long")
+                near |= part.column("several").to_numpy(zero_copy_only=False)
+                yield part.select(["a", "b", "several"]).filter(pa.array(near))
 
-    return screen
+    return run
 
 
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -128,27 +122,32 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     A null doc_id counts as smaller than any other. Rows that share an id are one document with several texts: where
     any of them is linked, its component is the smallest id of that row's component. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(id_key().alias("did"), text_of().alias("text"))
-    units = settle(base.mapInArrow(_sketches(size), "did long, n long, k long, bands array<long>, registers binary"))
-    labels = link(units.select("k", "n", "did", "bands"), base, whole, size, percent, _screen(units, percent))
-    labelled = units.filter("n > 0").select("did", "n", "k").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    units = scratch.settle(base.mapInArrow(_sketches(size), "did long, n long, k long, bands array<long>, sketch binary"))
+    labels = link(units, base, whole, size, percent, scratch, _unlike(percent))
+    labelled = units.filter("n > 0").select("did", "n", "k").join(labels.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    labelled = scratch.settle(labelled.select("did", "n", "label"))
     smallest = labelled.groupBy("label").agg(F.min("did").alias("component"), F.count(F.lit(1)).alias("rows"))
-    # a component of one row needs no lookup, and the rest is looked up by salted labels
-    several = smallest.filter("rows > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    found = labelled.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(16)).cast("int")).join(several, ["label", "salt"], "left")
+    # a component of one row needs no lookup
+    found = labelled.join(smallest.filter("rows > 1").hint("merge"), "label", "left")
     rows = found.select("did", "n", F.coalesce("component", "did").alias("component"))
     empty = units.filter("n = 0").select("did", "n", F.col("did").alias("component"))
-    return rows.unionByName(empty).select(id_back("did").alias("doc_id"), F.col("n").alias("n_shingles"), id_back("component").alias("component"))
+    out = settle(rows.unionByName(empty))
+    scratch.drop()
+    return out.select(id_back("did").alias("doc_id"), F.col("n").alias("n_shingles"), id_back("component").alias("component"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that with the smallest id, with the columns of the input. Of rows that share
     that id all stay."""
-    kept = near_classes(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(id_key().alias("_did")).distinct()
-    return docs.withColumn("_did", id_key()).join(kept, "_did", "left_semi").select(*docs.columns)
+    (did,) = aside(docs.columns, "did")
+    kept = near_classes(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(id_key().alias(did)).distinct()
+    return docs.withColumn(did, id_key()).join(kept, did, "left_semi").select(*docs.columns)
 
 
 def op2_near_dedup(spark, sf_dir):
     return near_classes(documents(spark, sf_dir), size=2).select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept")
+        "doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept")
     )

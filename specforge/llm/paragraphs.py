@@ -1,11 +1,13 @@
 """Repeated and nearly repeated paragraphs, removed from all documents but the first that holds them.
 
-Two kinds of unit are compared. Natural paragraphs (lines of at least LEAST_WORDS words) carry MinHash bands of their
-five-word shingles; those that collide are verified by exact Jaccard similarity. Text that is pasted inside another
-paragraph has no such borders, so passages of PASSAGE words are picked by their content as well: of every WINDOW
-consecutive passages that with the smallest hash. A run of PASSAGE + WINDOW - 1 words that two documents share holds a
-passage that both pick, wherever it stands. Equal units are one node; components of nodes keep their unit in the
-document with the smallest id, there the first, and lose the others.
+Two kinds of unit are compared. A natural paragraph is a line of at least LEAST_WORDS words, or what shorter lines that
+follow each other, without a blank line between them, hold together, if that is as much (hard-wrapped text); less, such
+as a heading, is no paragraph. Paragraphs carry MinHash bands of their five-word shingles; those that collide are
+verified by exact Jaccard similarity. Text that is pasted inside another paragraph has no such borders, so passages of
+PASSAGE words are picked by their content as well: of every WINDOW consecutive passages that with the smallest hash. A
+run of PASSAGE + WINDOW - 1 words that two documents share holds a passage that both pick, wherever it stands. Passages
+are equal where two independent hashes of their words, 128 bits together, are. Equal units are one node; components of
+nodes keep their unit in the document with the smallest id, there the first, and lose the others.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, id_back, id_key, settle, text_of
-from .links import WordHashes, link, mix, runs, set_key
+from .common import NO_ID, Scratch, documents, id_back, id_key, small_batches, text_of
+from .links import Sets, link, mix, pieces, words_of
 
 LEAST_WORDS, SHINGLE, PERCENT = 20, 5, 80
-#: Bands of two MinHash values: a pair with a similarity of 0.8 shares none with a probability of 1e-4.
-BANDS, ROWS = 9, 2
-PASSAGE, WINDOW = 30, 20
+#: Bands of three MinHash values: a pair with a similarity of 0.8 shares none with a probability of 9e-5.
+BANDS, ROWS = 13, 3
+PASSAGE, WINDOW = 20, 30
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _rng = np.random.default_rng(20)
@@ -73,64 +75,108 @@ def picked(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.concatenate((edge, least, edge)), window, np.maximum) == hashes)
 
 
-def lines(text: str) -> list[tuple[int, int, int]]:
-    """The natural paragraphs as (first word, start, end); start and end are characters."""
-    out, word, start = [], 0, 0
-    for line in text.split("\n"):
-        n = len(line.encode().split())
-        if n >= LEAST_WORDS:
-            out.append((word, start, start + len(line)))
-        word += n
-        start += len(line) + 1
+_NEWLINE = 10
+
+
+def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """The natural paragraphs of the texts, for `links`: hashes of all words, each one's unit or -1, the number of units,
+    the text of each unit."""
+    hashes, text, unit, owner = _words(texts)[:4]
+    return hashes, unit, len(owner), owner
+
+
+def _words(texts: list[bytes]):
+    """hashes and text number of all words, paragraph of each (or -1), text and first word of each paragraph."""
+    content = b"\n".join(texts)
+    starts, ends, hashes = words_of(content)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    breaks = np.flatnonzero(np.frombuffer(content, np.uint8) == _NEWLINE)
+    line = np.searchsorted(breaks, starts)
+    if not len(line):
+        return hashes, text, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.diff(line, prepend=-1))  # word that starts a line
+    length = np.diff(np.append(first, len(line)))
+    number, of = line[first], text[first]
+    # a line joins the one before if both are short, next to each other and of one text
+    short = length < LEAST_WORDS
+    joins = np.zeros(len(first), bool)
+    joins[1:] = short[1:] & short[:-1] & (np.diff(number) == 1) & (of[1:] == of[:-1])
+    block = np.cumsum(~joins) - 1
+    size = np.bincount(block, weights=length).astype(np.int64)
+    kept = size >= LEAST_WORDS
+    numbers = np.where(kept, np.cumsum(kept) - 1, -1)
+    begins = first[~joins]
+    return hashes, text, np.repeat(numbers[block], length), of[~joins][kept], begins[kept]
+
+
+def _bands(sets: Sets) -> np.ndarray:
+    """(units, BANDS) hashes of the bands; no set is empty."""
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets.n), BANDS)).copy()
+    for i in range(BANDS * ROWS):
+        band = i // ROWS
+        out[:, band] = mix(out[:, band] + np.minimum.reduceat(sets.values * _MULTIPLY[i] + _ADD[i], sets.ends[:-1]))
     return out
 
 
+def _passages(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the picked passages, and two hashes of each."""
+    values = window_hashes(hashes, PASSAGE)
+    n = len(values)
+    inside = text[:n] == text[PASSAGE - 1 :][:n]
+    size = np.bincount(text[:n][inside], minlength=texts)  # passages of each text
+    picks = np.zeros(n, bool)
+    if n >= WINDOW:
+        least = sliding(values, WINDOW, np.minimum)
+        span = WINDOW + PASSAGE - 1
+        least[text[: len(least)] != text[span - 1 :][: len(least)]] = 0  # windows that leave the text pick nothing
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        picks = (sliding(np.concatenate((edge, least, edge)), WINDOW, np.maximum) == values) & inside
+    begins = np.searchsorted(text, np.arange(texts))
+    for t in np.flatnonzero((size > 0) & (size < WINDOW)).tolist():  # fewer passages than a window: the smallest of all
+        part = values[begins[t] : begins[t] + size[t]]
+        picks[begins[t] : begins[t] + size[t]] = part == part.min()
+    chosen = np.flatnonzero(picks)
+    return chosen, values[chosen], window_hashes(mix(hashes ^ np.uint64(_BASE)), PASSAGE)[chosen]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            did, digest, first, n, key, members, bands = [], [], [], [], [], [], []
-            for row, digest_of, content in zip(*(part.column(c).to_pylist() for c in ("did", "digest", "text")), strict=True):
-                content = content.encode().lower()
-                words = content.split()
-                if len(words) < LEAST_WORDS:
-                    continue
-                values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                passages = window_hashes(values, PASSAGE)
-                chosen = picked(passages, WINDOW)
-                found = [(i, PASSAGE, k, 0, ()) for i, k in zip(chosen.tolist(), passages[chosen].view(np.int64).tolist(), strict=True)]
-                of_text, word = runs(values, SHINGLE), 0
-                for line in content.split(b"\n"):
-                    w = len(line.split())
-                    if w >= LEAST_WORDS:
-                        s = np.unique(of_text[word : word + w - SHINGLE + 1])
-                        least = (s[:, None] * _MULTIPLY + _ADD).min(0).reshape(BANDS, ROWS)
-                        b = np.arange(BANDS, dtype=np.uint64)
-                        for i in range(ROWS):
-                            b = mix(b + least[:, i])
-                        found.append((word, w, set_key(s), len(s), b.view(np.int64).tolist()))
-                    word += w
-                for i, length, k, m, b in found:
-                    did.append(row)
-                    digest.append(digest_of)
-                    first.append(i)
-                    n.append(length)
-                    key.append(k)
-                    members.append(m)
-                    bands.append(b)
+        did, digest = (batch.column(c).to_numpy() for c in ("did", "digest"))
+        for at, texts in pieces(batch.column("text")):
+            hashes, text, unit, owner, begins = _words(texts)
+            if not len(hashes):
+                continue
+            before = np.searchsorted(text, np.arange(len(texts)))  # words of the texts before
+            chosen, key, check = _passages(hashes, text, len(texts))
+            sets = Sets(hashes, unit, len(owner), SHINGLE)
+            bands = _bands(sets) if len(owner) else np.empty((0, BANDS), np.uint64)
+            of = np.concatenate((text[chosen], owner))
+            length = np.bincount(unit[unit >= 0], minlength=len(owner))
+            ends = np.concatenate((np.zeros(len(chosen) + 1, np.int64), BANDS * np.arange(1, len(owner) + 1))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(did, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(members, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["did", "digest", "first", "n", "k", "members", "bands"],
+                [
+                    pa.array(did[at + of]),
+                    pa.array(digest[at + of]),
+                    pa.array((np.concatenate((chosen, begins)) - before[of]).astype(np.int32)),
+                    pa.array(np.concatenate((np.full(len(chosen), PASSAGE), length)).astype(np.int32)),
+                    pa.array(np.concatenate((key.view(np.int64), sets.key))),
+                    pa.array(np.concatenate((check.view(np.int64), np.zeros(len(owner), np.int64)))),
+                    pa.array(np.concatenate((np.zeros(len(chosen), np.int64), sets.n)).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64))),
+                ],
+                names=["did", "digest", "first", "n", "k", "check", "members", "bands"],
             )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
             out = []
             for did, text, units in zip(*(part.column(c).to_pylist() for c in ("did", "text", "units")), strict=True):
+                if not units:
+                    out.append((did, len(text.encode().split()), 0, [], [], text))
+                    continue
                 words = [m.span() for m in _WORD.finditer(text)]
                 gone, seen, origins = np.zeros(len(words) + 1, np.int64), set(), set()
                 for u in sorted(units or [], key=lambda u: (u["first"], u["n"])):
@@ -172,19 +218,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null or short text loses nothing. A null doc_id counts as smaller than any other. Rows that repeat both id and
     text are one document, listed twice, and are cut alike. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(id_key().alias("did"), text_of().alias("text"))
-    units = settle(base.withColumn("digest", F.xxhash64("text")).mapInArrow(_units, "did long, digest long, first int, n long, k long, members long, bands array<long>"))
-    natural = units.filter(F.size("bands") > 0)
-    labels = link(natural.select("k", F.col("members").alias("n"), "did", "bands"), base, lines, SHINGLE, PERCENT)
-    placed = units.select("did", "digest", "first", "n", "k")
-    firsts = placed.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
-    origin = firsts.groupBy("label").agg(F.min("did").alias("origin"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    labelled = settle(origin).join(firsts, "label")
-    by_doc = labelled.groupBy("did", "digest").agg(F.collect_set(F.struct("first", "n", "label", "origin")).alias("units"))
+    fields = "did long, digest long, first int, n int, k long, check long, members int, bands array<long>"
+    units = scratch.settle(base.withColumn("digest", F.xxhash64("text")).mapInArrow(_units, fields))
+    natural = units.filter("members > 0")
+    inner = Scratch(docs.sparkSession)
+    labels = scratch.settle(link(natural.select("k", F.col("members").cast("long").alias("n"), "did", "bands"), base, paragraphs, SHINGLE, PERCENT, inner))
+    inner.drop()
+    place = ["did", "digest", "first", "n"]
+    placed = natural.select(*place, "k").join(labels.hint("merge"), "k", "left").select(*place, F.coalesce("label", "k").alias("label"), F.lit(0).cast("long").alias("check"), F.lit(True).alias("natural"))
+    placed = placed.unionByName(units.filter("members = 0").select(*place, F.col("k").alias("label"), "check", F.lit(False).alias("natural")))
+    unit = ["label", "check", "natural"]
+    origin = placed.groupBy(*unit).agg(F.min("did").alias("origin"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    repeated = scratch.settle(placed.join(scratch.settle(origin).hint("merge"), unit))
+    by_doc = repeated.groupBy("did", "digest").agg(F.collect_set(F.struct("first", "n", "label", "origin")).alias("units"))
     span = "array<struct<start: long, end: long>>"
     cut = (
         base.withColumn("digest", F.xxhash64("text"))
-        .join(by_doc, ["did", "digest"], "left")
+        .join(by_doc.hint("merge"), ["did", "digest"], "left")
         .select("did", "text", "units")
         .mapInArrow(_cut, f"did long, n_words long, n_removed long, spans {span}, origins array<long>, kept string")
     )

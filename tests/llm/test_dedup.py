@@ -154,16 +154,69 @@ def test_paragraphs_near_lines(spark):
     assert kept == {1: a, 2: "short line\n\nend"}
 
 
-def test_fine_bands_keep_similar_sets():
-    r = np.random.default_rng(4)
-    missed = 0
-    for _ in range(60):
-        values = r.integers(0, 2**63, 100, np.uint64)
-        a, b = values[:90], values[10:]  # similarity 0.8
-        x, y = links.fine_bands(a), links.fine_bands(b)
-        far = sum((p ^ q).bit_count() for p, q in zip(x[links.FINE_BANDS :].view(np.uint64).tolist(), y[links.FINE_BANDS :].view(np.uint64).tolist(), strict=True))
-        missed += far > links.FAR_BITS or not (x == y)[: links.FINE_BANDS].any()
-    assert missed == 0
+@pytest.mark.parametrize(("size", "most"), [(2, 14), (5, 6)])
+def test_a_crowd_around_the_limit_loses_no_link(spark, size, most):
+    """Variants of one text whose similarities lie on both sides of 0.8."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(60)}" for _ in range(120)]
+    texts = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(r.randrange(most)):
+            words[r.randrange(120)] = f"x{r.randrange(40)}"
+        texts.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component"] for r in near_dedup.near_classes(spark.createDataFrame(texts, "doc_id long, text string"), size).collect()}
+    label = dict(zip([i for i, _ in texts], _components(texts, size), strict=True))
+    assert len(set(label.values())) > 3
+    assert got == label
+
+
+def test_word_hashes():
+    texts = [b"", b" one two\tone\n", b"x" * 9000 + b" " + b"x" * 9001 + b" one", "\u00e9\u00a0t two".encode()]
+    for t in texts:
+        starts, ends, hashes = links.words_of(t)
+        assert [t[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == t.split()
+        assert len(set(hashes.tolist())) == len(set(t.split()))
+    assert links.words_of(b"a b one")[2][2] == links.words_of(b"one")[2][0]
+
+
+def test_shingle_sets():
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abc") for _ in range(n)).encode() for n in (0, 1, 1, 2, 3, 40, 0, 40)]
+    for size in (2, 5):
+        hashes, unit, units, _ = links.whole(texts)
+        sets = links.Sets(hashes, unit, units, size)
+        want = [{tuple(w[j : j + min(size, len(w))]) for j in range(max(1, len(w) - size + 1))} if w else set() for w in (t.split() for t in texts)]
+        assert sets.n.tolist() == [len(x) for x in want]
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            assert (sets.key[a] == sets.key[b]) == (want[a] == want[b])
+            assert len(np.intersect1d(sets.of(a), sets.of(b))) == len(want[a] & want[b])
+
+
+def test_natural_paragraphs_join_wrapped_lines():
+    def cut(text):
+        hashes, unit, units, _ = paragraphs.paragraphs([text.encode()])
+        return [(unit == u).sum() for u in range(units)]
+
+    n = paragraphs.LEAST_WORDS
+    line = lambda k: " ".join("w" * k).strip()
+    assert cut(line(n)) == [n]
+    assert cut(line(n - 1)) == []
+    assert cut(f"{line(n - 5)}\n{line(5)}\n\n{line(n - 1)}\n \n{line(3)}") == [n]
+    assert cut(f"title\n{line(n + 2)}\n{line(n)}\nshort") == [n + 2, n]
+
+
+def test_paragraphs_find_every_long_shared_run(spark):
+    """A run of PASSAGE + WINDOW - 1 words, wherever it stands."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(paragraphs.PASSAGE + paragraphs.WINDOW - 1)]
+    texts = [(0, " ".join(shared))]
+    for i in range(1, 60):
+        parts = [word() for _ in range(r.randrange(80))], shared, [word() for _ in range(r.randrange(80))]
+        texts.append((i, " ".join(sum(parts, []))))
+    rows = paragraphs.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r["n_removed"] >= paragraphs.PASSAGE and 0 in r["origins"] for r in rows if r["doc_id"])
 
 
 @pytest.mark.parametrize("run", [exact_dedup.mark, near_dedup.near_classes, paragraphs.remove_repeats, suffix_dedup.remove_repeats])

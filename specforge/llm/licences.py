@@ -1,11 +1,11 @@
 """Licence scans by a positional index of rare words, in DataFrame expressions only.
 
-The index holds the words of short licence templates with their positions. How many documents hold each of these words
-gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. Each template whose
-mandatory key phrase a file holds is looked up by the template's highest-IDF words, whatever else the file holds: each
-occurrence votes for template and shift (position in the file less position in the template). Postings of one template
-that agree on the shift stand as in the template; the share of the template's looked-up IDF that agrees is the match.
-Beside it, base labels come from phrases whose words stand consecutively.
+The index holds the words of licence notices and clauses with their positions. How many documents hold each of these
+words gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. A file's words
+are looked up by each template's highest-IDF words, whatever else the file holds: each occurrence votes for template and
+shift (position in the file less position in the template). Postings of one template that agree on the shift stand as in
+the template; the share of the template's looked-up IDF that agrees is the match. A match counts if the template's
+mandatory key phrase stands at that shift, too. Beside it, base labels come from phrases whose words stand consecutively.
 """
 
 from __future__ import annotations
@@ -21,35 +21,39 @@ from .common import ascii_lower, documents, settle, text_of
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases that give the base labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Fixed values: (label, notice or opening of the licence text, mandatory key phrase), in lower case without punctuation.
+# Fixed values: (label, notice or clause of the licence text, mandatory key phrase in it), in lower case without punctuation.
 TEMPLATES = [
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included in all copies"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "use this file except in compliance with the license"),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed on an as is basis"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
+    ("gpl-2", "as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    ("gpl-3", "as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
     ("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "permission is granted to anyone to use this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 ]
-#: Distinct words by which a template is looked up; no template here has more.
-LOOKED_UP = 24
+#: Words by which a template is looked up, those of the highest IDF.
+LOOKED_UP = 12
 #: Least share of a template's IDF that must stand in its place.
 LEAST_SHARE = 0.7
 
 
-def _contains(line: Column, phrases) -> Column:
-    return reduce(lambda a, b: a | b, (line.contains(f" {p} ") for p in phrases))
-
-
 def _starts(words: Column, phrase: str) -> Column:
     """Where the phrase's words stand consecutively, words from 0."""
     parts = phrase.split()
@@ -59,21 +63,24 @@ def _starts(words: Column, phrase: str) -> Column:
 
 
 def _index(spark) -> DataFrame:
-    """template, label, word, at: one posting for each word of each template."""
-    rows = [(k, label, w, at) for k, (label, text, _) in enumerate(TEMPLATES) for at, w in enumerate(text.split())]
-    return spark.createDataFrame(rows, "template int, label string, word string, at int")
+    """template, label, word, at: one posting for each word of each template; key: whether it belongs to the key phrase."""
+    rows = []
+    for k, (label, text, phrase) in enumerate(TEMPLATES):
+        words, keys = text.split(), phrase.split()
+        first = next(i for i in range(len(words)) if words[i : i + len(keys)] == keys)
+        rows += [(k, label, w, at, first <= at < first + len(keys)) for at, w in enumerate(words)]
+    return spark.createDataFrame(rows, "template int, label string, word string, at int, key boolean")
 
 
 def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score: one row for each input row.
 
     A null text is empty: no words, no places, no labels, score 0. score is the largest share of a template's
-    looked-up IDF that stands in its place, over templates whose key phrase is there. Rows are told apart by their
+    looked-up IDF that stands in its place, over templates whose key phrase stands there. Rows are told apart by their
     place in the input, so repeated and null ids are kept. Other columns are not read.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-    listed = F.array(*map(F.lit, vocabulary))
     words = F.col("words")
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     split = docs.select(
@@ -82,41 +89,34 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     )
     places = F.array_sort(F.concat(*(F.when(F.col("line").contains(f" {p} "), _starts(words, p)).otherwise(F.array().cast("array<int>")) for p in BASE)))
     labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.col("line").contains(f" {p} "), F.lit(x)) for p, x in BASE.items())))))
-    # only a document that holds some key phrase can be confirmed, so only its licence words are located
-    confirmed = F.array_compact(F.array(*(F.when(F.col("line").contains(f" {key} "), F.lit(k)) for k, (_, _, key) in enumerate(TEMPLATES))))
-    located = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda s: s["word"].isin(vocabulary))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(words, i).isin(vocabulary))
+    located = F.transform(at, lambda i: F.struct(F.get(words, i).alias("word"), i.alias("pos")))
     rows = settle(
-        split.select(
-            "doc_id",
-            F.monotonically_increasing_id().alias("rid"),
-            F.size("words").cast("long").alias("n_words"),
-            F.array_intersect("words", listed).alias("held"),
-            "words",
-            line.alias("line"),
+        split.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.size("words").cast("long").alias("n_words"), "words", line.alias("line")).select(
+            "doc_id", "rid", "n_words", places.alias("places"), labels.alias("base_labels"), F.when(F.size("words") > 0, located).alias("located")
         )
-        .select("doc_id", "rid", "n_words", "held", places.alias("places"), labels.alias("base_labels"), confirmed.alias("confirmed"), "words")
-        .withColumn("located", F.when(F.size("confirmed") > 0, located))
-        .drop("words")
     )
     n = rows.count()
-    df = rows.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = rows.select(F.explode(F.array_distinct("located.word")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     # one row for each word of the templates, also for those that no document holds
     idf = _index(spark).select("word").distinct().join(F.broadcast(df), "word", "left")
-    idf = idf.select("word", F.log(1 + F.lit(n + 1) / F.coalesce("df", F.lit(1))).alias("idf"))
+    idf = settle(idf.select("word", F.log(1 + F.lit(n + 1) / F.coalesce("df", F.lit(1))).alias("idf")))
     by_idf = Window.partitionBy("template").orderBy(F.desc("idf"), "word")
     index = _index(spark).join(F.broadcast(idf), "word").withColumn("place", F.dense_rank().over(by_idf)).filter(F.col("place") <= looked_up)
-    whole = index.select("template", "word", "idf").groupBy("template").agg(F.sum("idf").alias("whole"))
-    index = index.join(F.broadcast(whole), "template")
-    held = rows.filter("located is not null").select("rid", "confirmed", F.explode("located").alias("o")).select("rid", "confirmed", "o.*")
-    votes = (
-        held.join(F.broadcast(index.select("template", "label", "word", "at", "idf", "whole")), "word")
-        .filter(F.array_contains("confirmed", F.col("template")))
+    whole = index.groupBy("template").agg(F.sum("idf").alias("whole"))
+    index = settle(index.join(F.broadcast(whole), "template").select("template", "label", "word", "at", "idf", "whole"))
+    held = rows.select("rid", F.explode("located").alias("o")).select("rid", "o.*")
+    matches = (
+        held.join(F.broadcast(index), "word")
         .groupBy("rid", "template", "label", "whole", (F.col("pos") - F.col("at")).alias("shift"))
         .agg(F.sum("idf").alias("stands"))
         .withColumn("share", F.least(F.col("stands") / F.col("whole"), F.lit(1.0)))
         .filter(F.col("share") >= least_share)
     )
-    found = votes.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("score"))
+    keys = _index(spark).filter("key").groupBy("template").agg(F.collect_list(F.struct("word", "at")).alias("phrase"))
+    there = F.transform("phrase", lambda k: F.struct(k["word"].alias("word"), (k["at"] + F.col("shift")).alias("pos")))
+    verified = settle(matches).join(F.broadcast(keys), "template").join(rows.select("rid", "located"), "rid").filter(F.size(F.array_except(there, "located")) == 0)
+    found = verified.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("score"))
     return rows.join(found, "rid", "left").select(
         "doc_id",
         "n_words",

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -218,6 +219,44 @@ def test_licences_of_a_file_with_all_notices(spark):
     assert by_id[1]["labels"] == [] and by_id[40]["labels"] == ["mit"] and by_id[40]["score"] == pytest.approx(1.0)
 
 
+def test_licence_labels_equal_brute_force(spark):
+    """Several licences in a file, notices in most files, words left out, changed and put in."""
+    r = random.Random(5)
+    texts = []
+    for i in range(150):
+        parts = [licences.TEMPLATES[12][1].split()] if i % 10 else []
+        for _ in range(r.randrange(4)):
+            words = r.choice(licences.TEMPLATES)[1].split()
+            for _ in range(r.randrange(4)):
+                k = r.randrange(len(words))
+                words[k : k + r.randrange(2)] = [r.choice(["x", "the", "license", "software"])] * r.randrange(2)
+            parts.append(words)
+        parts.append([r.choice(["plain", "text", "of", "the", "software", "permission"]) for _ in range(r.randrange(30))])
+        r.shuffle(parts)
+        texts.append((i, " ".join(" ".join(p) for p in parts)))
+    words = {i: licences.phrase_words(t) for i, t in texts}
+    df = collections.Counter(w for x in words.values() for w in set(x))
+    idf = {w: math.log(1 + (len(texts) + 1) / max(1, df[w])) for _, t, _ in licences.TEMPLATES for w in t.split()}
+    want = {}
+    for i, x in words.items():
+        labels = {v for p, v in licences.BASE.items() if f" {p} " in f" {' '.join(x)} "}
+        best = 0.0
+        for label, text, key in licences.TEMPLATES:
+            t, k = text.split(), key.split()
+            used = set(sorted(set(t), key=lambda w: (-idf[w], w))[: licences.LOOKED_UP])
+            at = next(j for j in range(len(t)) if t[j : j + len(k)] == k)
+            whole = sum(idf[w] for w in t if w in used)
+            for shift in range(-len(t), len(x)):
+                there = [w for j, w in enumerate(t) if w in used and 0 <= j + shift < len(x) and x[j + shift] == w]
+                share = sum(idf[w] for w in there) / whole
+                if share >= licences.LEAST_SHARE and at + shift >= 0 and x[at + shift : at + shift + len(k)] == k:
+                    labels.add(label)
+                    best = max(best, min(1.0, share))
+        want[i] = (sorted(labels), pytest.approx(best))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want and len({str(v[0]) for v in want.values()}) > 10
+
+
 def test_empty_tables(nothing, spark):
     path, pattern = bpe.public_vocabulary()
     assert fingerprint.compare_edited(nothing).count() == 0

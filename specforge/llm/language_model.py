@@ -1,14 +1,14 @@
 """Text scores by a class-based bigram model whose classes come from exchange clustering.
 
-Words of at least CLUSTERED of the training tokens are clustered; every other word belongs to a class by its ending, so
-each word has one. A round of the exchange counts, over all training text, how often each clustered word stands before
-and after each class; from these counts and the class bigrams every second word moves to the class where the likelihood
-of the class bigram model gains most. A text's probability is that of its class transitions times its word emissions,
+Words of at least FREQUENT of the training tokens are clustered; every other word belongs to a class by its ending, so
+each word has one. A round of the exchange counts, over all training text, how often every second clustered word stands
+before and after each class; from these counts and the class bigrams it moves to the class where the likelihood of the
+class bigram model gains most. Rounds end when the likelihood gains little; a round that lowers it is undone. A text's probability is that of its class transitions times its word emissions,
 interpolated with add-one unigrams:
 
     p(w | v) = L * T(class v, class w) * c(w) / n(class w) + (1 - L) * (c(w) + 1) / (N + V + 1)
 
-Frequent words (a share of FREQUENT of the training tokens, so at most 1 / FREQUENT of them) are looked up where the
+Frequent words (at most 1 / FREQUENT of them) are looked up where the
 text is; each other token is sent with its factor L * T / n to the word's count by a join, and the logarithms are
 summed for each text.
 """
@@ -25,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, settle, text_of
+from .common import ascii_lower, documents, settle, small_batches, text_of
 
 #: Least share of the training tokens for a word to be looked up without a join, and to be clustered.
-FREQUENT, CLUSTERED = 2e-6, 2e-5
+FREQUENT = 2e-6
+#: Gain of the likelihood, for each token, below which the exchange ends.
+LEAST_GAIN = 1e-4
+#: Words whose counts travel together, and groups of tasks whose counts are summed first.
+PART, SALTS = 256, 512
 #: Classes of clustered words, classes by ending, rounds of the exchange.
 CLASSES, ENDINGS, ROUNDS = 64, 16, 4
 #: Weight of the class model where no token is unknown, and how fast it falls with the share of unknown ones; pseudo-count
@@ -76,14 +80,19 @@ def _before(classes: np.ndarray) -> np.ndarray:
     return np.concatenate(([_END], classes[:-1]))
 
 
-def _count(lexicon) -> callable:
-    """Of each task: class bigrams (part -1), and for each clustered word the classes behind and before it and how
-    often it follows itself, in parts of 256 words."""
+def _half(clustered: int, turn: int | None) -> int:
+    """How many clustered words move in a turn: every second one, none without a turn."""
+    return 0 if turn is None else (clustered - turn % 2 + 1) // 2
+
+
+def _count(lexicon, turn: int | None) -> callable:
+    """Of each task: class bigrams (part -1), and for each word that moves in this turn the classes behind and before it
+    and how often it follows itself, in parts of PART words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         width = 2 * _ALL + 1
-        table = np.zeros((lex.clustered, width), np.int64)
+        table = np.zeros((_half(lex.clustered, turn), width), np.int32)
         bigrams = np.zeros(_ALL * _ALL, np.int64)
         for batch in _groups(batches):
             _, ids, classes, _ = lex.read(batch.column("text").to_pylist())
@@ -91,25 +100,37 @@ def _count(lexicon) -> callable:
                 continue
             before = _before(classes)
             bigrams += np.bincount(before * _ALL + classes, minlength=_ALL * _ALL)
+            if turn is None:
+                continue
             flat = table.reshape(-1)
-            here = np.flatnonzero((ids >= 0) & (ids < lex.clustered))
-            rows = ids[here] * width
+            here = np.flatnonzero((ids >= 0) & (ids < lex.clustered) & (ids % 2 == turn % 2))
+            rows = ids[here] // 2 * width
             follows = np.concatenate((classes[1:], [_END]))
             same = np.concatenate(([False], ids[1:] == ids[:-1]))
             keys = np.concatenate((rows + follows[here], rows + _ALL + before[here], (rows + 2 * _ALL)[same[here]]))
             key, n = np.unique(keys, return_counts=True)
-            flat[key] += n
+            flat[key] += n.astype(np.int32)
         out = [(-1, bigrams.tobytes())]
-        out += [(k // 256, table[k : k + 256].tobytes()) for k in range(0, lex.clustered, 256)]
+        out += [(k // PART, table[k : k + PART].astype(np.int64).tobytes()) for k in range(0, len(table), PART)]
         part, counts = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts, pa.binary())], names=["part", "counts"])
 
     return run
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum((np.frombuffer(x, np.int64) for x in rows["counts"]), np.int64(0))
-    return pd.DataFrame({"part": rows["part"][:1], "counts": [total.tobytes()]})
+def _add(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sum of a group's counts, which are read a batch at a time."""
+    total = np.int64(0)
+    for rows in groups:
+        total = sum((np.frombuffer(x, np.int64) for x in rows["counts"]), total)
+    yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]}).astype({"part": "int32"})
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    """part and counts, summed over tasks in two steps, so that no group holds what all tasks count."""
+    salted = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    step = salted.groupBy("part", "salt").applyInPandas(_add, "part int, counts binary")
+    return step.groupBy("part").applyInPandas(_add, "part int, counts binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -142,19 +163,27 @@ def _move(bigrams: np.ndarray, classes: np.ndarray, turn: int):
         for batch in batches:
             out = []
             for part, counts in zip(batch["part"], batch["counts"], strict=True):
-                for i, row in enumerate(np.frombuffer(counts, np.int64).reshape(-1, 2 * _ALL + 1), part * 256):
-                    if i % 2 == turn % 2 and row[:_ALL].sum():
+                for slot, row in enumerate(np.frombuffer(counts, np.int64).reshape(-1, 2 * _ALL + 1), part * PART):
+                    i = 2 * slot + turn % 2
+                    if row[:_ALL].sum():
                         out.append((i, best_class(int(classes[i]), row[:_ALL], row[_ALL : 2 * _ALL], int(row[-1]), bigrams)))
             yield pd.DataFrame(out, columns=["word", "class"]).astype({"word": "int32", "class": "int32"})
 
     return run
 
 
+def likelihood(bigrams: np.ndarray) -> float:
+    """What depends on the classes in the log likelihood of the class bigram model, for each token."""
+    n = bigrams.astype(float)
+    return float((_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum()) / max(1.0, n.sum()))
+
+
 class Model:
-    """Word counts (a table), frequent words with classes, class bigrams, and the sizes of the training corpus."""
+    """Word counts (a table), frequent words with classes, class bigrams, the likelihood after each turn, and the sizes of
+    the training corpus."""
 
-    def __init__(self, counts: DataFrame, lexicon: _Lexicon, bigrams: np.ndarray, tokens: int, types: int, texts: int, once: int):
-        self.counts, self.lexicon, self.bigrams = counts, lexicon, bigrams
+    def __init__(self, counts: DataFrame, lexicon: _Lexicon, bigrams: np.ndarray, gains: list[float], tokens: int, types: int, texts: int, once: int):
+        self.counts, self.lexicon, self.bigrams, self.likelihoods = counts, lexicon, bigrams, gains
         self.tokens, self.types, self.texts = tokens, types, texts
         #: Share of new text's tokens that are unknown, by Good and Turing. Each of them pays for the class model's
         #: weight, so that falls with their share.
@@ -165,6 +194,7 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
     """Count and cluster the words of all texts; a null text is empty. Without rows the model knows no token."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(text_of(text_col).alias("text"))
     words = texts.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
     counts = settle(words.groupBy("word").agg(F.count(F.lit(1)).alias("c")))
@@ -174,23 +204,29 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mode
     frequent = counts.filter(F.col("c") >= FREQUENT * tokens).orderBy(F.desc("c"), "word").collect()  # at most 1 / FREQUENT
     seen = np.array([r["c"] for r in frequent], np.int64)
     spelled = [r["word"].encode() for r in frequent]
-    clustered = int((seen >= CLUSTERED * tokens).sum())
-    classes = np.array([i % CLASSES if i < clustered else _ending(w) for i, w in enumerate(spelled)], np.int64)
-    bigrams = np.zeros((_ALL, _ALL), np.int64)
-    for turn in range(rounds + 1):
+    clustered = len(spelled)
+    classes = np.arange(clustered) % CLASSES
+    best, reached = None, []
+    for turn in [*range(rounds if clustered else 0), None]:
         lexicon = _Lexicon(spelled, seen, classes, clustered)
         sent = spark.sparkContext.broadcast(lexicon)
-        summed = texts.mapInArrow(_count(sent), "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary")
-        summed = settle(summed)
+        summed = settle(_summed(texts.mapInArrow(_count(sent, turn), "part int, counts binary")))
+        bigrams = np.zeros((_ALL, _ALL), np.int64)
         for row in summed.filter("part = -1").collect():  # one row, of fixed size
             bigrams = np.frombuffer(row["counts"], np.int64).reshape(_ALL, _ALL)
-        if turn == rounds or not clustered:
+        now = likelihood(bigrams)
+        if best and now < reached[-1]:  # words that moved together have hindered each other
+            lexicon, bigrams = best
+            break
+        gain = now - reached[-1] if len(reached) > 1 else np.inf
+        best, reached = (lexicon, bigrams), [*reached, now]
+        if turn is None or gain < LEAST_GAIN:
             break
         moved = summed.filter("part >= 0").mapInPandas(_move(bigrams, classes, turn), "word int, class int").collect()
         classes = classes.copy()
-        for r in moved:  # at most 1 / CLUSTERED
+        for r in moved:  # at most 1 / FREQUENT
             classes[r["word"]] = r["class"]
-    return Model(counts, lexicon, bigrams, tokens, types, n_texts, once)
+    return Model(counts, lexicon, bigrams, reached, tokens, types, n_texts, once)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -141,6 +141,38 @@ def test_language_model_base_and_gain(docs, texts, spark, data):
     assert list(real.held_out) == [zlib.crc32(str(i).encode()) % 7 == 2 for i in real.doc_id]
 
 
+def test_language_model_score_equals_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_model.train(docs, rounds=2)
+    assert len(model.likelihoods) >= 2 and model.likelihoods == sorted(model.likelihoods)
+    lex, weight, last = model.lexicon, model.class_weight, language_model._END
+    class_of = lambda w: int(lex.classes[lex.ids[w]]) if w in lex.ids else language_model._ending(w)
+    counts = {r["word"].encode(): r["c"] for r in model.counts.collect()} | {b"\n": model.texts}
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b"\n"] for r in docs.select("doc_id", "text").collect()}
+    bigrams = np.zeros_like(model.bigrams)
+    for t in texts.values():
+        cs = [last, *map(class_of, t)]
+        np.add.at(bigrams, (cs[:-1], cs[1:]), 1)
+    assert (bigrams == model.bigrams).all()
+    into = bigrams.sum(0)
+    moves = (bigrams + language_model.PRIOR * into / into.sum()) / (bigrams.sum(1, keepdims=True) + language_model.PRIOR)
+    rows = {r["doc_id"]: r["score"] for r in language_model.score(docs, model).collect()}
+    for i, t in list(texts.items())[:60]:
+        want, before = 0.0, last
+        for w in t:
+            k, c = class_of(w), counts.get(w, 0)
+            want += math.log10(weight * moves[before, k] * c / into[k] + (1 - weight) * (c + 1) / (model.tokens + model.types + 1))
+            before = k
+        assert rows[i] == pytest.approx(want, rel=1e-5)
+
+
+def test_language_model_counts_are_summed_over_tasks(spark, data):
+    """Sparse words, rare words and many tasks: counts behind and before a word are those of the whole corpus."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(200).repartition(7)
+    one, many = (language_model.train(d, rounds=1) for d in (docs.coalesce(1), docs))
+    assert (one.bigrams == many.bigrams).all() and (one.lexicon.classes == many.lexicon.classes).all()
+
+
 def test_class_bigrams_are_a_distribution():
     r = np.random.default_rng(1)
     bigrams = r.integers(0, 9, (language_model._ALL, language_model._ALL))

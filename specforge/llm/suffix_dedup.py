@@ -6,11 +6,13 @@ are sorted, about one in thirty bytes, and only where an anchor occurs again at
 
 1. Blocks of documents send their anchors' fingerprints, Golomb coded, to owners, and get bitmaps of those that repeat.
 2. A block sorts the suffixes at its repeating anchors and sends them, front-coded, to owners by fingerprint; of equal
-   pieces of one block only the first is sent.
+   pieces of one block only the first is sent. An anchor that many blocks have (a line of many documents) is hot: its
+   strings are cut into classes by their reach to the left, and each class is dealt by the bytes that all its strings
+   hold, so that pieces meet only where they agree in nearly a whole string.
 3. An owner merges the sorted runs with a loser tree whose matches start from the known common prefixes, which leaves
    the suffixes in order with the common prefix of neighbours. Strings that reach o bytes left of the anchor are equal
-   where neighbours share LENGTH - o bytes to the right and the o bytes to the left hash alike; all but the first in
-   order of (document, position) are repeats.
+   where neighbours share LENGTH - o bytes to the right and have the same o bytes to the left; all but the first in
+   order of (document, position) are repeats. Nothing is taken as equal by its hash.
 4. Blocks mark the repeats' bytes and cut them.
 """
 
@@ -19,19 +21,25 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, id_back, id_key, text_of
-from .exact_dedup import _bases, _own, _owner, golomb_encode
+from .exact_dedup import _bases, _owner, golomb_decode, golomb_encode
 from .links import mix
 from .paragraphs import sliding, window_hashes
 
 LENGTH, ANCHOR = 100, 40
 #: Bytes of a block, least and most; between them there are BLOCKS blocks.
 LEAST_BYTES, MOST_BYTES, BLOCKS = 2 << 20, 32 << 20, 2000
+#: An anchor of more blocks than this is hot; a class holds the strings of so many neighbouring reaches.
+HOT_BLOCKS, CLASS = 16, 15
+#: Bytes of blocks that a task works on, one after another.
+TASK_BYTES = 64 << 20
 _SLICE = 1 << 18
 _BYTE = np.random.default_rng(1).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 20) - 1)
@@ -137,11 +145,12 @@ def _send(owners: int):
         place, low, high, fp = block.pieces()
         values, back, times = np.unique(fp, return_inverse=True, return_counts=True)
         cuts = np.searchsorted(_owner(values, owners), np.arange(owners + 1, dtype=np.uint64))
-        again = times > 1
-        for o, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
-            again[cuts[o] : cuts[o + 1]] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=cuts[o + 1] - cuts[o]).astype(bool)
+        again, hot = times > 1, np.zeros(len(values), bool)
+        for o, bitmap, heat in zip(*(answers.column(c).to_pylist() for c in ("owner", "bitmap", "hot")), strict=True):
+            for flags, bits in ((again, bitmap), (hot, heat)):
+                flags[cuts[o] : cuts[o + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[o + 1] - cuts[o]).astype(bool)
         keep = np.flatnonzero(again[back])
-        place, low, high, fp = place[keep], low[keep], high[keep], fp[keep]
+        place, low, high, fp, hot = place[keep], low[keep], high[keep], fp[keep], hot[back][keep]
         # pieces are in order of (document, place): the first of equal ones stays, the others repeat it
         seen: set = set()
         first = np.zeros(len(place), bool)
@@ -155,8 +164,9 @@ def _send(owners: int):
         if rest.any():
             bits = _bits(place[rest] - high[rest], place[rest] - low[rest])
             rows.append({"owner": -1 - number, "block": number, "run": _pack(place[rest], bits)})
+        place, low, high, fp, hot = place[first], low[first], high[first], fp[first], hot[first]
+        place, low, high, fp = _classed(block, place, low, high, fp, hot)
         owner = (mix(fp) % np.uint64(owners)).astype(np.int64)
-        place, low, high, owner = place[first], low[first], high[first], owner[first]
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(owners + 1))
         for o in np.unique(owner).tolist():
@@ -167,6 +177,29 @@ def _send(owners: int):
     return run
 
 
+def _classed(block: Block, place: np.ndarray, low: np.ndarray, high: np.ndarray, fp: np.ndarray, hot: np.ndarray) -> tuple:
+    """The pieces, those of hot anchors cut into classes of reaches, with what deals each: the fingerprint, or for a class
+    a hash of the bytes that its strings share."""
+    cold = ~hot
+    out = [(place[cold], low[cold], high[cold], fp[cold])]
+    place, low, high = place[hot], low[hot], high[hot]
+    for k in range(0, LENGTH - ANCHOR + 1, CLASS):
+        a, b = np.maximum(low, place - (k + CLASS - 1)), np.minimum(high, place - k)
+        some = np.flatnonzero(a <= b)
+        shared = (block.text[p - k : p - k + LENGTH - CLASS + 1] for p in place[some].tolist())
+        dealt = np.fromiter((xxhash.xxh64_intdigest(s, k) for s in shared), np.uint64, len(some))
+        out.append((place[some], a[some], b[some], dealt))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _answer(runs: pd.DataFrame) -> pd.DataFrame:
+    """For each run of an owner which of its fingerprints other blocks have, too, and which many have."""
+    values = [golomb_decode(*x) for x in zip(runs["n"], runs["k"], runs["quotients"], runs["remainders"], strict=True)]
+    seen, times = np.unique(np.concatenate(values), return_counts=True)
+    among = lambda kept: [np.packbits(np.isin(v, kept, assume_unique=True)).tobytes() for v in values]
+    return pd.DataFrame({"owner": runs["owner"], "block": runs["sender"], "bitmap": among(seen[times > 1]), "hot": among(seen[times > HOT_BLOCKS])})
+
+
 def _bits(least: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Masks with the bits least..most set."""
     ones = ~np.uint64(0)
@@ -211,10 +244,10 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
             return a, b
         if q > p:
             return b, a
-        if x == y:
-            known[max(a, b)] = len(x)
-            return (a, b) if a < b else (b, a)
         c = _common(x, y, p)
+        if c == len(x) == len(y):
+            known[max(a, b)] = c
+            return (a, b) if a < b else (b, a)
         if x[c : c + 1] < y[c : c + 1]:
             known[b] = c
             return a, b
@@ -275,19 +308,20 @@ def _settle_group(table: pa.Table) -> pa.Table:
     left_end = np.cumsum(np.concatenate([r[4] for r in runs]))[merged]
     rank = np.empty(len(ids), np.int64)
     rank[np.lexsort((place, ids))] = np.arange(len(ids))
-    hashed = np.zeros(len(ids), np.uint64)
+    behind = np.zeros(len(ids), np.int64)  # number of the bytes left of the anchor, the same for the same bytes
     masks = np.zeros(len(ids), np.uint64)
     for o in range(LENGTH - ANCHOR + 1):
         if o:
             far = np.flatnonzero(most >= o)
-            hashed[far] = mix(hashed[far] + _BYTE[from_left[left_end[far] - o]])
+            _, behind[far] = np.unique(behind[far] << 8 | from_left[left_end[far] - o], return_inverse=True)
         here = np.flatnonzero((least <= o) & (o <= most))
         if len(here) < 2:
             continue
         group = np.cumsum(common < LENGTH - o)[here]
-        key = mix(hashed[here] + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((rank[here], key))
-        repeat = np.concatenate(([False], key[order][1:] == key[order][:-1]))
+        left = behind[here]
+        order = np.lexsort((rank[here], left, group))
+        same = (left[order][1:] == left[order][:-1]) & (group[order][1:] == group[order][:-1])
+        repeat = np.concatenate(([False], same))
         masks[here[order[repeat]]] |= np.uint64(1 << o)
     run = np.searchsorted(offset, merged, "right") - 1
     rows = []
@@ -340,13 +374,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = base.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / min(max(size / BLOCKS, LEAST_BYTES), MOST_BYTES)))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int"))
+    # as many tasks as the bytes need, however few partitions a shuffle has by itself
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int")).repartition(parts, "block")
     runs = dealt.groupBy("block").applyInArrow(
         _fingerprints(owners), "owner int, sender int, n int, k int, quotients binary, remainders binary"
     )
-    answers = runs.groupBy("owner").applyInPandas(_own, "owner int, sender int, bitmap binary").withColumnRenamed("sender", "block")
+    answers = runs.groupBy("owner").applyInPandas(_answer, "owner int, block int, bitmap binary, hot binary")
     sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(owners), "owner int, block int, run binary")
-    found = sent.groupBy("owner").applyInArrow(_settle_group, "block int, run binary")
+    found = sent.repartition(parts, "owner").groupBy("owner").applyInArrow(_settle_group, "block int, run binary")
     cut = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _cut, "did long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )

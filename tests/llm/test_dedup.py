@@ -37,6 +37,20 @@ def test_suffix_dedup_spans(docs):
         assert all(a["end"] < b["start"] for a, b in itertools.pairwise(r["spans"]))
 
 
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """A line shorter than a string in every document, its surroundings shared by some; every anchor is hot."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 0)
+    monkeypatch.setattr(suffix_dedup, "LEAST_BYTES", 3000)
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
+    line, edges = text(77), [text(12), text(40)]
+    texts = [(i, text(r.randrange(120)) + r.choice(edges) + line + r.choice(edges) + text(r.randrange(120))) for i in range(90)]
+    want = sorted((i, len(t), bytes(b for b, g in zip(t, gone, strict=True) if not g)) for i, t, gone in removed_bytes(texts, suffix_dedup.LENGTH))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == want and any(len(kept) < n for _, n, kept in want)
+
+
 def test_loser_tree_merges_front_coded_runs():
     r = random.Random(5)
     for k in (1, 2, 3, 5, 8):

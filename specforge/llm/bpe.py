@@ -3,7 +3,8 @@
 A text is cut by the vocabulary's pattern, and every match is merged by itself. The pending pairs of a match stand in a
 segment tree over its byte positions: a node holds the smallest pair rank below it with the leftmost position, so the
 root is the next merge, and a merge changes three leaves (the pair, its left and its right neighbour), each in
-logarithmic time. A node has FAN children, so that a short match is a root over its leaves. One match of n bytes takes O(n log n), however long it is.
+logarithmic time. A node has FAN children, so that a short match is a root over its leaves.
+One match of n bytes takes O(n log n), however long it is.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, small_batches, text_of
 
-#: Encoded matches that a Python worker remembers; beyond it, it starts anew.
-REMEMBERED = 500_000
+#: Encoded matches that a Python worker remembers, of so many characters at most (some 15 MB); beyond it, it starts anew.
+REMEMBERED, LONGEST = 80_000, 32
+#: Characters of texts encoded at once.
+PIECE = 1 << 20
 #: Children of a node of the segment tree.
 FAN_BITS = 4
 FAN = 1 << FAN_BITS
@@ -89,7 +93,7 @@ class Encoder(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         ids = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), np.int32).tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
@@ -109,9 +113,26 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows, so many characters of texts (or ids) at once; a longer one is by itself."""
+    column = batch.column(1)
+    sizes = np.diff(column.offsets.to_numpy()) if pa.types.is_list(column.type) else pc.utf8_length(column).to_numpy()
+    part = np.cumsum(sizes) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _encoded(encoder: Encoder, texts: list[str]) -> pa.ListArray:
+    packed = [encoder.encode(t) for t in texts]
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _decoded(encoder: Encoder, ids: pa.ListArray) -> pa.Array:
+    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([encoder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,12 +140,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in (part for x in batches for part in _parts(x)):
-            packed = [encoder.encode(t) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        for part in (part for batch in batches for part in _parts(batch)):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _encoded(encoder, part.column("text").to_pylist())], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -134,20 +153,31 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in (part for x in batches for part in _parts(x)):
-            ids = batch.column("ids")
-            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            content = [encoder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), ids, pa.array(content, pa.binary())], names=["doc_id", "ids", "content"]
-            )
+        for part in (part for batch in batches for part in _parts(batch)):
+            ids = part.column("ids")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(encoder, ids)], names=["doc_id", "ids", "content"])
 
+    small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, content binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `decode` makes of `encode`, in one step, so that a core has one Python worker with one vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, pattern)
+        for part in (part for batch in batches for part in _parts(batch)):
+            ids = _encoded(encoder, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(encoder, ids)], names=["doc_id", "ids", "content"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, content binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, settle, text_of
+from .common import documents, settle, small_batches, text_of
 
 #: Labelled rows the classifier is fitted on at most, those with the smallest hash of their id.
 MAX_TRAIN_ROWS = 20_000
@@ -33,7 +33,7 @@ OPENINGS = (4, 5, 6, 7)
 #: Words between a lexicon word and a second-person word at most.
 NEAR = 3
 #: Words a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Documents are rejected from this score on.
 REJECT = 0.5
 # Second-person words of the languages at hand.
@@ -136,6 +136,7 @@ def features(docs: DataFrame, lexicons: dict[int, dict[str, float]], keep: list[
                     [*(part.column(c) for c in keep), *(pa.array(x) for x in found.T)], names=names
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, "text", "lexicon")
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
     return rows.mapInArrow(run, ", ".join([*kept, *(f"{c} double" for c in FEATURES)]))

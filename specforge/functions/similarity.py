@@ -64,9 +64,3 @@ def digit_grams(text: Column, size: int = 5) -> Column:
         runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (size - 1)), lambda i: F.substring(r, i, F.lit(size)))
     )
     return F.array_distinct(F.flatten(grams))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,7 +175,3 @@ def explanation_text(e: Column) -> Column:
         F.when(e["unit_match"], "совпала единица измерения"),
     )
     return F.when(parts == "", "слабое совпадение").otherwise(capitalized(parts))
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,56 @@ from ..functions import text as T
 FOUND, ANALOG, NOT_FOUND, DOUBTFUL = "найдено", "аналог", "не найдено", "сомнительно"
 
 
+# Headers of a labelled file, fields in order of priority.
+GOLD_HEADERS = {
+    "row_num": ("№", "номер"),
+    "source_file": ("файл-источник", "файл источник"),
+    "name": ("наименование (как у клиента)", "наименование клиент", "наименование"),
+    "article": ("артикул (как у клиента)", "артикул клиент", "артикул"),
+    "manufacturer": ("производитель (как у клиента)", "производитель клиент", "производитель"),
+    "attributes": ("характеристика (как у клиента)", "характеристики (как у клиента)", "характеристика", "характеристики"),
+    "quantity": ("кол-во", "количество", "к-во"),
+    "unit": ("ед. изм.", "ед.изм", "ед изм", "единица"),
+    "expected_article": ("→ правильный артикул каталога", "правильный артикул", "артикул каталога"),
+    "expected_code_1c": ("→ код 1с каталога", "→ правильный код 1с", "правильный код 1с", "код 1с каталога", "код каталога"),
+    "expected_name": ("→ правильное наименование каталога", "правильное наименование"),
+    "label_status": ("статус разметки", "статус"),
+    "labeler_notes": ("примечание разметчика", "примечание"),
+    "result_article": ("результат матчера: артикул", "результат: артикул"),
+    "result_code_1c": ("результат матчера: код 1с", "результат: код 1с"),
+    "result_confidence": ("результат матчера: уверенность", "результат: уверенность"),
+    "result_matched": ("совпало? (да/нет)", "совпало"),
+}
+#: Rows searched for the header, and fields it must have.
+HEADER_ROWS, NEEDED = 5, ("name", "label_status")
+#: Fields that a labelled row keeps.
+GOLD_FIELDS = [f for f in GOLD_HEADERS if not f.startswith("result_")]
+
+
+def detect_gold_headers(cells: DataFrame) -> DataFrame:
+    """file_id, header_row, field, col_idx of labelled files (file_id, row_idx, col_idx, value): of the first HEADER_ROWS
+    rows that which names most fields, and the name, the first such one. A header is a synonym, or starts with one at a
+    border. Files whose header lacks a needed field have no row."""
+    text = T.normalize_name(F.col("value"))
+    field = F.coalesce(*(F.when(text.rlike("^(?:" + "|".join(map(re.escape, words)) + r")(?:$|[ :\-.,/(])"), name) for name, words in GOLD_HEADERS.items()))
+    named = cells.filter(F.col("row_idx") < HEADER_ROWS).withColumn("field", field).filter("field is not null")
+    first = named.groupBy("file_id", "row_idx", "field").agg(F.min("col_idx").alias("col_idx"))
+    rows = first.groupBy("file_id", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "col_idx"))).alias("columns"))
+    rows = rows.filter(F.map_contains_key("columns", F.lit("name")))
+    best = rows.groupBy("file_id").agg(F.max_by(F.struct("row_idx", "columns"), F.struct(F.size("columns"), -F.col("row_idx"))).alias("h"))
+    for name in NEEDED:
+        best = best.filter(F.map_contains_key("h.columns", F.lit(name)))
+    return best.select("file_id", F.col("h.row_idx").alias("header_row"), F.explode("h.columns").alias("field", "col_idx"))
+
+
+def read_gold_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """file_id, row_idx and GOLD_FIELDS as cleaned text (row_num a number, label_status in lower case) of the rows below
+    the header that have a name."""
+    located = cells.join(headers, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    wide = located.groupBy("file_id", "row_idx").pivot("field", GOLD_FIELDS).agg(T.clean_string(F.first("value")))
+    return wide.filter("name is not null").withColumns({"row_num": T.parse_int(F.col("row_num")), "label_status": F.lower(F.coalesce("label_status", F.lit("")))})
+
+
 def gold_inputs(gold: DataFrame) -> DataFrame:
     """Gold rows as requested lines, to be matched as any other."""
     return gold.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +55,17 @@ def repeats(rows: DataFrame) -> DataFrame:
 VALUES = ["article_raw", "code_1c", "name", "manufacturer", "price", "unit"]
 
 
-def upsert(stored: DataFrame, rows: DataFrame, mode: str = REPLACE) -> DataFrame:
+def upsert(stored: DataFrame, rows: DataFrame, mode: str = REPLACE, at: datetime | None = None) -> DataFrame:
     """The item store after an import of `rows` (source_id, line_number and VALUES), with `change`: inserted, updated,
     deactivated or kept.
 
     A row updates the stored item of its source with its key, which keeps its id; an inactive one is found too when
     replacing (active ones first), and becomes active. When replacing, active items of an imported source that no row
     touched are deactivated. Rows without a key are inserted each time. Normalised columns follow the new values. Other
-    columns keep what is stored.
+    columns keep what is stored. at: the time of the import, by default now; inserted rows get it as created_at where
+    the store has that column, and their ids depend on it, so that no import makes an id again.
     """
+    at = at or datetime.now(UTC)
     fresh = drop_repeats(rows)
     items = stored_key(stored)
     touched = fresh.select("source_id").distinct()
@@ -79,10 +83,11 @@ def upsert(stored: DataFrame, rows: DataFrame, mode: str = REPLACE) -> DataFrame
         "is_active", F.when(F.col("change") == "updated", True).when(F.col("change") == "deactivated", False).otherwise(F.col("is_active"))
     )
     inserted = fresh.join(hit.select("source_id", "line_number"), ["source_id", "line_number"], "left_anti")
-    made = F.sha2(F.concat_ws("|", "source_id", F.coalesce("key", F.lit("")), F.col("line_number").cast("string")).cast("binary"), 256)
+    made = F.sha2(F.concat_ws("|", "source_id", F.coalesce("key", F.lit("")), F.col("line_number").cast("string"), F.lit(at.isoformat())).cast("binary"), 256)
     inserted = inserted.select(
-        F.substring(made, 1, 32).alias("item_id"), "source_id", *VALUES, F.lit(True).alias("is_active"), F.lit("inserted").alias("change")
-    )
+        F.substring(made, 1, 32).alias("item_id"), "source_id", *VALUES, F.lit(True).alias("is_active"), F.lit("inserted").alias("change"),
+        *([F.lit(at).cast(stored.schema["created_at"].dataType).alias("created_at")] if "created_at" in stored.columns else []),
+    )
     wanted = [*stored.columns, "change"]
     out = kept.select(*wanted).unionByName(inserted, allowMissingColumns=True)
     normal = {"article_normalized": T.normalize_article(F.col("article_raw")), "name_normalized": T.normalize_name(F.col("name")), "manufacturer_normalized": T.normalize_label(F.col("manufacturer"))}
@@ -98,16 +103,16 @@ def report(changed: DataFrame, rows: DataFrame) -> DataFrame:
 
 def assign_sku(items: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Give items of suppliers with a prefix a number <prefix>-NNNNNN where they have none: that of another item of the
-    source with the same key (an active one first, then the smallest), else the next free ones in order of created_at,
-    article, id."""
+    source with the same key (an active one first, then the smallest), else the next ones behind the highest of that
+    prefix in order of created_at, article, id."""
     prefixes = suppliers.filter("prefix is not null").select(F.col("supplier_id").alias("source_id"), "prefix")
     keyed = stored_key(items).join(prefixes, "source_id", "left")
     reserved = first_rows(keyed.filter("supplier_sku is not null and key is not null"), ["source_id", "key"], [F.desc("is_active"), F.col("supplier_sku")], 1)
     reserved = reserved.select("source_id", "key", F.col("supplier_sku").alias("reserved"))
-    number = F.regexp_extract("supplier_sku", r"-(\d+)$", 1).try_cast("long")
+    own = F.startswith("supplier_sku", F.concat("prefix", F.lit("-")))
+    number = F.when(own, F.regexp_extract("supplier_sku", r"-(\d+)$", 1).try_cast("long"))
     highest = keyed.groupBy("source_id").agg(F.coalesce(F.max(number), F.lit(0)).alias("highest"))
     joined = keyed.join(reserved, ["source_id", "key"], "left").join(highest, "source_id")
-    # of several items without a number that share a reserved key the first takes it
     by_age = [F.col("created_at"), F.col("article_raw"), F.col("item_id")]
     need = F.col("supplier_sku").isNull() & F.col("prefix").isNotNull() & F.col("is_active")
     state = F.when(need & F.col("reserved").isNotNull(), 1).when(need, 2).otherwise(0)

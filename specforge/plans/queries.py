@@ -312,14 +312,14 @@ def d8(spark, d):
 
 
 def _numbered(spark, d):
-    suppliers = D.suppliers(spark, d).withColumn("prefix", F.when(F.col("prefix").isNotNull(), F.concat(F.lit("P"), F.substring("supplier_id", 2, 9))))
+    suppliers = D.suppliers(spark, d).withColumn("prefix", F.when(F.substring("supplier_id", 2, 9).cast("long") % 5 == 0, "OLD").when(F.col("prefix").isNotNull(), F.concat(F.lit("P"), F.substring("supplier_id", 2, 9))))
     return I.assign_sku(D.stored_items(spark, d), suppliers)
 
 
-_SKU_SQL = _OLD + """, s AS (SELECT k.*, CASE WHEN s_suppkey % 4 <> 3 THEN 'P' || s_suppkey END AS prefix FROM keyed k LEFT JOIN supplier ON 'S' || s_suppkey = source_id),
+_SKU_SQL = _OLD + """, s AS (SELECT k.*, CASE WHEN s_suppkey % 5 = 0 THEN 'OLD' WHEN s_suppkey % 4 <> 3 THEN 'P' || s_suppkey END AS prefix FROM keyed k LEFT JOIN supplier ON 'S' || s_suppkey = source_id),
  res AS (SELECT source_id, key, supplier_sku AS reserved FROM s WHERE supplier_sku IS NOT NULL AND key IS NOT NULL
    QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY is_active DESC, supplier_sku) = 1),
- hi AS (SELECT source_id, coalesce(max(regexp_extract(supplier_sku, '-([0-9]+)$', 1)::bigint), 0) AS highest FROM s GROUP BY 1),
+ hi AS (SELECT source_id, coalesce(max(regexp_extract(supplier_sku, '-([0-9]+)$', 1)::bigint) FILTER (starts_with(supplier_sku, prefix || '-')), 0) AS highest FROM s GROUP BY 1),
  st AS (SELECT s.*, reserved, highest, CASE WHEN supplier_sku IS NULL AND prefix IS NOT NULL AND is_active THEN CASE WHEN reserved IS NOT NULL THEN 1 ELSE 2 END ELSE 0 END AS state
    FROM s LEFT JOIN res USING (source_id, key) JOIN hi USING (source_id)),
  nth AS (SELECT *, row_number() OVER (PARTITION BY source_id, state ORDER BY created_s, article_raw NULLS FIRST, item_id) AS n FROM st)
@@ -516,7 +516,7 @@ def _round_sql(x: str, digits: int) -> str:
 
 _CANDS = _CANDIDATES.format("name_raw")
 #: The whole match over the item store: channels, merged hits, scores, ranks, promoted cards. The stages are named as the functions are.
-_MATCH_SQL = f""", {_DENOISED}, pooled AS (SELECT i.*, source_type FROM stored_ i JOIN sources_ USING (source_id) WHERE is_active AND status = 'active'),
+_MATCH_SQL = rf""", {_DENOISED}, pooled AS (SELECT i.*, source_type FROM stored_ i JOIN sources_ USING (source_id) WHERE is_active AND status = 'active'),
  known_brands AS (SELECT DISTINCT manufacturer_normalized AS brand FROM pooled WHERE length(manufacturer_normalized) >= 3 AND NOT regexp_matches(manufacturer_normalized, '[^\p{{L}}\p{{N}}_]')),
  named AS (SELECT spec_item_id, arg_min(brand, pos) AS found FROM (SELECT spec_item_id, unnest(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+')) AS brand, generate_subscripts(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+'), 1) AS pos FROM spec_items_ WHERE manufacturer_raw IS NULL) JOIN known_brands USING (brand) GROUP BY 1),
  lines AS (SELECT spec_item_id, {article('article_raw')} AS article, lower(denoised.name) AS lexical_query, name_raw, coalesce(lower(trim(manufacturer_raw)), found) AS brand, lower(trim(unit_raw)) AS unit FROM spec_items_ JOIN denoised USING (spec_item_id) LEFT JOIN named USING (spec_item_id)),
@@ -636,7 +636,7 @@ def f16(spark, d):
     return M.persisted(_matched(spark, d)).select("spec_item_id", "item_id", F.col("confidence").cast("double").alias("confidence"), "match_type", F.col("rank").cast("long").alias("rank"))
 
 
-_EXPLAINED = "CASE WHEN rank = 1 THEN 'Артикул совпал точно' ELSE 'Наименование близко (score=' || round(confidence, 2)::decimal(3,2)::varchar || ')' END"
+_EXPLAINED = "CASE WHEN rank = 1 THEN 'Артикул совпал точно' WHEN confidence = 0 THEN 'слабое совпадение' ELSE 'Наименование близко (score=' || round(confidence, 2)::decimal(3,2)::varchar || ')' END"
 
 
 @query("b16_explanation", f" SELECT spec_item_id, item_id, {_EXPLAINED} AS sentence FROM candidates_")
@@ -647,10 +647,7 @@ def b16(spark, d):
         F.when(first, 0.0).otherwise(F.col("confidence").cast("double")).alias("lexical_score"), F.lit(False).alias("brand_match"), F.lit(False).alias("unit_match"),
         F.lit("none").alias("extracted_code_match"), F.lit(None).cast("string").alias("extracted_code"),
     )
-    return D.candidates(spark, d).filter("rank != 2 or confidence > 0").withColumn("e", e).select("spec_item_id", "item_id", T.explanation_text(F.col("e")).alias("sentence"))
-
-
-SQL["b16_explanation"] += " WHERE rank <> 2 OR confidence > 0"
+    return D.candidates(spark, d).withColumn("e", e).select("spec_item_id", "item_id", T.explanation_text(F.col("e")).alias("sentence"))
 
 
 @query("f11_rank", " SELECT spec_item_id, item_id, row_number() OVER (PARTITION BY spec_item_id, source_type ORDER BY confidence DESC, item_id) AS rank FROM candidates_")
@@ -829,6 +826,17 @@ def _ranks(spark, d):
     return G.first_hit_ranks(D.gold_rows(spark, d), D.candidates(spark, d), D.items(spark, d))
 
 
+@query("h1_gold_headers", " SELECT DISTINCT source_file AS file_id, 1 AS header_row, unnest(['row_num', 'name', 'article', 'expected_article', 'expected_code_1c', 'label_status']) AS field, unnest([0, 1, 2, 3, 4, 5]) AS col_idx FROM gold_")
+def h1(spark, d):
+    return G.detect_gold_headers(D.gold_cells(spark, d))
+
+
+@query("h2_gold_rows", " SELECT file_id, row_num, name, article, expected_article, expected_code_1c, lower(label_status) AS label_status FROM (SELECT source_file AS file_id, row_number() OVER (PARTITION BY source_file ORDER BY gold_id) AS row_num, * FROM gold_) WHERE gold_id % 37 <> 0")
+def h2(spark, d):
+    cells = D.gold_cells(spark, d)
+    return G.read_gold_rows(cells, G.detect_gold_headers(cells)).select("file_id", "row_num", "name", "article", "expected_article", "expected_code_1c", "label_status")
+
+
 @query("h3_gold_inputs", " SELECT gold_id AS spec_item_id, name AS name_raw, article AS article_raw FROM gold_")
 def h3(spark, d):
     return G.gold_inputs(D.gold_rows(spark, d)).select("spec_item_id", "name_raw", "article_raw")

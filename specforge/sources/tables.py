@@ -339,3 +339,16 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     head = F.explode(F.array(*(F.struct(F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), F.lit(v).alias("value")) for r, c, v in top))).alias("h")
     files = read(spark, folder, "lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("file_id")).distinct().select("file_id", head).select("file_id", "h.*")
     return files.unionByName(body).select("file_id", F.lit("Sheet1").alias("sheet"), "row_idx", "col_idx", "value").filter("value is not null")
+
+
+def gold_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows as they come in files: a title, a header, then the rows in order of their ids; some have no name."""
+    gold = gold_rows(spark, folder).withColumn("n", F.row_number().over(Window.partitionBy("source_file").orderBy("gold_id")))
+    name = F.when(F.col("gold_id") % 37 != 0, F.concat(F.lit("  "), "name"))
+    values = F.array(F.col("n").cast("string"), name, "article", "expected_article", "expected_code_1c", "label_status", F.lit("x"))
+    body = gold.select(F.col("source_file").alias("file_id"), (F.col("n") + 1).alias("row_idx"), F.posexplode(values).alias("col_idx", "value"))
+    # A labelled file's title and header.
+    top = [(0, 0, "Номер набора"), (1, 0, "№"), (1, 1, "Наименование (как у клиента)"), (1, 2, "Артикул"), (1, 3, "→ Правильный артикул каталога"), (1, 4, "Код 1С каталога"), (1, 5, "Статус разметки"), (1, 6, "Цвет")]
+    head = F.explode(F.array(*(F.struct(F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), F.lit(v).alias("value")) for r, c, v in top))).alias("h")
+    files = gold.select(F.col("source_file").alias("file_id")).distinct().select("file_id", head).select("file_id", "h.*")
+    return files.unionByName(body).filter("value is not null")

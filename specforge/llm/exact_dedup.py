@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, id_back, id_key, settle, shared_dir, text_of
+from .common import aside, fits, id_back, id_key, settle, shared_dir, text_of
 
 #: Fingerprints an owner receives on average at most.
 OWNER_ROWS = 500_000
@@ -167,9 +167,10 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without repeats of a text; the columns stay as they are."""
-    kept = mark(docs).filter("kept").select(id_key().alias("_did"), F.col("sha").alias("_sha"))
-    keyed = docs.withColumns({"_did": id_key(), "_sha": F.sha2(text_of().cast("binary"), 256)})
-    return keyed.join(kept, ["_did", "_sha"], "left_semi").dropDuplicates(["_did", "_sha"]).select(*docs.columns)
+    did, sha = aside(docs.columns, "did", "sha")
+    kept = mark(docs).filter("kept").select(id_key().alias(did), F.col("sha").alias(sha))
+    keyed = docs.withColumns({did: id_key(), sha: F.sha2(text_of().cast("binary"), 256)})
+    return keyed.join(kept, [did, sha], "left_semi").dropDuplicates([did, sha]).select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir):

@@ -146,6 +146,15 @@ def link_to_catalog(items: DataFrame) -> DataFrame:
     ).select(*items.columns)
 
 
+def import_price_lists(stored: DataFrame, rows: DataFrame, suppliers: DataFrame, at: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """The item store after the price lists in `rows` replaced those of their sources, with numbers and links to the
+    catalog, and the counters of each source. The store's columns stay as they are; it must have those of stored items."""
+    named, _ = validate(rows)
+    changed = upsert(stored, named, REPLACE, at)
+    store = link_to_catalog(assign_sku(changed.drop("change"), suppliers))
+    return store.select(*stored.columns), report(changed, rows)
+
+
 def set_links(items: DataFrame, overrides: DataFrame) -> DataFrame:
     """Links set by hand (item_id, card_id; a null card locks the item as having none); a target must be a catalog card."""
     cards = items.filter("source_id = 'catalog'").select(F.col("item_id").alias("card_id"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from specforge.operators import cells as C
 from specforge.operators.review import write_csv
 from specforge.sources import files
+from specforge.sources import tables as D
 from specforge.streaming import jobs
 
-PRICE = "Прайс\n;;\nАртикул;Наименование;Кол-во;Цена без НДС\nA-1;\"Болт; М10\";10 шт;12,5\n;;;\nA-2;Гайка;много;по запросу\n"
+PRICE = "Прайс\n;;\nАртикул;Наименование;Кол-во;Цена без НДС\nA-1;\"Хомут; М10\";10 шт;12,5\n;;;\nA-2;Гайка;много;по запросу\n"
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def test_encoding_delimiter_header_rows(spark, folder):
     rows = C.extract_rows(cells, C.detect_headers(cells)).withColumn("file", F.element_at(F.split("file_id", "/"), -1))
     got = {(r["file"], r["line_number"]): (r["article"], r["name"], r["quantity_value"] and float(r["quantity_value"]), r["price_value"] and float(r["price_value"])) for r in rows.collect()}
     assert got == {
-        ("a.csv", 1): ("A-1", "Болт; М10", 10.0, 12.5), ("a.csv", 2): ("A-2", "Гайка", None, None),
+        ("a.csv", 1): ("A-1", "Хомут; М10", 10.0, 12.5), ("a.csv", 2): ("A-2", "Гайка", None, None),
         ("b.csv", 1): (None, "bolt", 3.0, None), ("b.csv", 2): (None, "nut", None, None), ("c.txt", 1): ("X1", "Ключ", None, None),
     }
     assert {(r["field"], r["value"]) for r in C.parse_warnings(rows).collect()} == {("quantity", "много"), ("price", "по запросу")}
@@ -61,12 +62,40 @@ def test_intake_reads_each_file_once(spark, folder, tmp_path):
     seen = []
     for _ in range(2):
         jobs.intake(spark, folder, str(tmp_path / "progress"), lambda df, n: seen.extend(r["name"] for r in df.collect())).awaitTermination()
-    assert sorted(seen) == ["bolt", "nut", "Болт; М10", "Гайка", "Ключ"]
-
-
-def test_price_list_feed_in_order(spark, tmp_path):
-    for i in range(3):
-        spark.createDataFrame([("S1", i)], "source_id string, version int").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
-    versions = []
-    jobs.price_list_feed(spark, str(tmp_path / "feed"), "source_id string, version int", str(tmp_path / "p"), lambda df, n: versions.append([r["version"] for r in df.collect()])).awaitTermination()
-    assert versions == [[0], [1], [2]]
+    assert sorted(seen) == ["bolt", "nut", "Гайка", "Ключ", "Хомут; М10"]
+
+
+def test_price_list_feed_imports_in_order(spark, tmp_path):
+    """Three lists of one supplier: a new item, a changed price, then another item in its place."""
+    stored = D.stored_items(spark, "/root/testdata/sf0.001").limit(0)
+    schema = "source_id string, line_number long, article_raw string, code_1c string, name string, manufacturer string, price decimal(18,4), unit string"
+    for price, article in ((1, "A-1"), (2, "A-1"), (3, "B-2")):
+        rows = spark.createDataFrame([("S1", 1, article, None, "thing", None, price, None)], schema.replace("decimal(18,4)", "int"))
+        rows.select("*").withColumn("price", F.col("price").cast("decimal(18,4)")).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    suppliers = spark.createDataFrame([("S1", "ABC")], "supplier_id string, prefix string")
+    store, reports = [stored], []
+
+    def keep(after, report, number):
+        store.append(spark.createDataFrame(after.collect(), stored.schema))
+        reports.append(tuple(report.first()[c] for c in ("inserted", "updated", "deactivated")))
+
+    jobs.price_list_feed(spark, str(tmp_path / "feed"), schema, str(tmp_path / "p"), lambda: store[-1], suppliers, keep).awaitTermination()
+    assert reports == [(1, 0, 0), (0, 1, 0), (1, 0, 1)]
+    got = sorted((r["article_raw"], float(r["price"]), r["is_active"], r["supplier_sku"]) for r in store[-1].collect())
+    assert got == [("A-1", 2.0, False, "ABC-000001"), ("B-2", 3.0, True, "ABC-000002")]
+
+
+def test_first_sheet_by_number_and_price_fallback(spark):
+    cells = spark.createDataFrame([("f", "B", 0, 0, 0, "x"), ("f", "B", 0, 3, 0, "y"), ("f", "A", 1, 0, 0, "z"), ("f", "A", 1, 4, 0, "z")], "file_id string, sheet string, sheet_no int, row_idx int, col_idx int, value string")
+    assert {r["sheet"] for r in C.choose_sheet(cells).collect()} == {"B"}
+    assert {r["sheet"] for r in C.choose_sheet(cells.drop("sheet_no")).collect()} == {"A"}
+    rows = spark.createDataFrame([("f", 1, 5.0), ("f", 2, 6.0)], "file_id string, row_idx int, price_value double").withColumn("price_value", F.col("price_value").cast("decimal(18,4)"))
+    entries = spark.createDataFrame([("f", 1, 7.0)], "file_id string, row_idx int, preferred double").withColumn("preferred", F.col("preferred").cast("decimal(18,4)"))
+    assert {r["row_idx"]: float(r["price_value"]) for r in C.with_prices(rows, entries).collect()} == {1: 7.0, 2: 6.0}
+
+
+def test_templates_learned_from_files(spark):
+    mapping = spark.createDataFrame([("f1", 2, "name", 0), ("f2", 3, "name", 1), ("f3", 1, "name", 2)], "file_id string, header_row int, field string, col_idx int")
+    files = spark.createDataFrame([("f1", "S1"), ("f2", "S1"), ("f3", "S2")], "file_id string, source_id string")
+    known = spark.createDataFrame([("S2", 0, "name", 0)], "source_id string, header_row int, field string, col_idx int")
+    assert [tuple(r) for r in C.new_templates(mapping, files, known).collect()] == [("S1", 2, "name", 0)]

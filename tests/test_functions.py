@@ -12,10 +12,10 @@ def values(spark, rows, expression, schema="v string"):
 @pytest.mark.parametrize(
     "function, cases",
     [
-        (T.clean_string, {"болт М10": "болт М10", "  a \t b ": "a b", "﻿": None, "": None}),
-        (T.normalize_article, {"blt-m10-040-zn": "BLTM10040ZN", "М10*40": "М1040", "ABC.123/45": "ABC12345", "  a-b-c  ": "ABC", "": None, "--": None}),
-        (T.normalize_name, {"Болт М10×40 DIN933": "болт м10×40 din933"}),
-        (T.manual_article, {"blt-м10 *4": "BLTМ104", "--": None}),
+        (T.clean_string, {"хомут Д16": "хомут Д16", "  a \t b ": "a b", "﻿": None, "": None}),
+        (T.normalize_article, {"scr-t25-080-br": "SCRT25080BR", "Д16*9": "Д169", "QRS.678/90": "QRS67890", "  a-b-c  ": "ABC", "": None, "--": None}),
+        (T.normalize_name, {"Хомут Д16×9 ART207": "хомут д16×9 art207"}),
+        (T.manual_article, {"clp-д16 *9": "CLPД169", "--": None}),
         (T.decimal_text, {"10.5000": "10.5", "10.0000": "10", "100": "100"}),
     ],
 )
@@ -34,9 +34,9 @@ def test_parse_decimal(spark):
 
 
 def test_codes_from_names(spark):
-    names = ["Деталь M12 крепёж M12 модель ABC123", "Плоскогубцы комбинированные 200мм", "Тепловентилятор КЭВ-32M3, 5 квт", None]
-    assert values(spark, names, T.article_candidates) == [["M12", "ABC123"], [], ["КЭВ32M3"], []]
-    assert values(spark, ["5т Д1-3913010-50 ШААЗ 3913010", "1234", None], T.code_tokens) == [["3913010"], [], []]
+    names = ["Узел T30 стойка T30 модель QRS678", "Ножницы садовые 310мм", "Обогреватель ТОВ-18K7, 2 квт", None]
+    assert values(spark, names, T.article_candidates) == [["T30", "QRS678"], [], ["ТОВ18K7"], []]
+    assert values(spark, ["3л Н2-7715020-60 РИТМ 7715020", "1234", None], T.code_tokens) == [["7715020"], [], []]
 
 
 def test_denoise(spark):
@@ -52,19 +52,19 @@ def test_denoise(spark):
 
 
 def test_trigrams(spark):
-    row = spark.range(1).select(S.similarity(F.lit("word"), F.lit("two words")), S.similarity(F.lit(""), F.lit("")), S.similarity(F.lit("Болт"), F.lit("болт"))).first()
+    row = spark.range(1).select(S.similarity(F.lit("word"), F.lit("two words")), S.similarity(F.lit(""), F.lit("")), S.similarity(F.lit("Хомут"), F.lit("хомут"))).first()
     assert round(row[0], 4) == 0.3636 and row[1] == 0 and row[2] == 1
 
 
 def test_stems_join_inflections(spark):
-    a, b = values(spark, ["Болты оцинкованные для труб", "болт оцинкованный труба"], S.stems)
+    a, b = values(spark, ["Хомуты латунные для шлангов", "хомут латунный шланга"], S.stems)
     assert set(a) == set(b)
 
 
 def test_explanations(spark):
     e = F.struct(
         F.lit("fuzzy").alias("article_match"), F.lit(0.8).alias("article_similarity"), F.lit(0.5).alias("lexical_score"), F.lit(True).alias("brand_match"),
-        F.lit(False).alias("unit_match"), F.lit("in_name").alias("extracted_code_match"), F.lit("3913010").alias("extracted_code"),
+        F.lit(False).alias("unit_match"), F.lit("in_name").alias("extracted_code_match"), F.lit("7715020").alias("extracted_code"),
     )
     text = spark.range(1).select(T.explanation_text(e)).first()[0]
-    assert text == "Артикул похож (similarity=0.80), код найден в наименовании каталога (3913010), наименование близко (score=0.50), совпал бренд"
+    assert text == "Артикул похож (similarity=0.80), код найден в наименовании каталога (7715020), наименование близко (score=0.50), совпал бренд"

@@ -11,9 +11,9 @@ from specforge.operators import transform
 from specforge.sources.tables import prepared
 
 CATALOG = [
-    ("BLT-M10-040-ZN", "Болт М10х40 DIN933 оцинкованный", "KOELNER"), ("BLT-M10-050-ZN", "Болт М10х50 DIN933 оцинкованный", "KOELNER"), ("BLT-M12-040", "Болт М12х40 DIN933", "KOELNER"),
-    ("NUT-M10", "Гайка М10 DIN934 оцинкованная", "KOELNER"), ("WSH-M10", "Шайба плоская М10 DIN125", "KOELNER"), ("DOWEL-6-40", "Дюбель универсальный 6х40", "FISCHER"),
-    (None, "Домкрат гидравлический ДГ15-3913010-03", "ШААЗ"),
+    ("SCR-T25-080-BR", "Саморез Т25х80 ART112 латунный", "TORVALD"), ("SCR-T25-100-BR", "Саморез Т25х100 ART112 латунный", "TORVALD"), ("SCR-T30-060", "Саморез Т30х60 ART112", "TORVALD"),
+    ("CLP-D16", "Хомут Д16 ART207 латунный", "TORVALD"), ("RNG-D22", "Кольцо упорное Д22 ART330", "TORVALD"), ("HOOK-4-25", "Крючок потолочный 4х25", "HAKEN"),
+    (None, "Насос поршневой НП20-7715020-01", "РИТМ"),
 ]
 ITEM = "item_id string, source_id string, article_raw string, code_1c string, name string, manufacturer string, price decimal(18,4), unit string, is_active boolean, linked_catalog_item_id string"
 LINE = "spec_item_id long, article_raw string, name_raw string, attributes_raw string, manufacturer_raw string, unit_raw string"
@@ -22,7 +22,7 @@ LINE = "spec_item_id long, article_raw string, name_raw string, attributes_raw s
 @pytest.fixture(scope="module")
 def store(spark):
     rows = [(f"c{i}", "catalog", a, f"K-{i}", n, m, None, "шт", True, None) for i, (a, n, m) in enumerate(CATALOG)]
-    rows += [("p0", "S1", "BLT.M10.040.ZN", None, "Болт М10х40 (от поставщика)", None, None, "шт", True, "c3"), ("p1", "S2", "NUT-M10", None, "paused source", None, None, None, True, None)]
+    rows += [("p0", "S1", "SCR.T25.080.BR", None, "Саморез Т25х80 (от поставщика)", None, None, "шт", True, "c3"), ("p1", "S2", "CLP-D16", None, "paused source", None, None, None, True, None)]
     items = prepared(spark.createDataFrame(rows, ITEM))
     sources = spark.createDataFrame(
         [("catalog", "company_catalog", "catalog", "active"), ("S1", "supplier_pricelist", "one", "active"), ("S2", "supplier_pricelist", "two", "paused")],
@@ -34,8 +34,8 @@ def store(spark):
 @pytest.fixture(scope="module")
 def found(spark, store):
     lines = [
-        (1, "blt-m10-040-zn", "Болт", None, "Koelner", "шт"), (2, "BLT-M10-04O-ZN", "что-то", None, None, None), (3, None, "Болт М12х40 DIN933", None, None, "шт"),
-        (4, None, "5т Д1-3913010-50 ШААЗ", None, None, None), (5, None, None, None, None, None), (6, None, "совсем другое qqq", None, None, None),
+        (1, "scr-t25-080-br", "Саморез", None, "Torvald", "шт"), (2, "SCR-T25-08O-BR", "что-то", None, None, None), (3, None, "Саморез Т30х60 ART112", None, None, "шт"),
+        (4, None, "3л Н2-7715020-60 РИТМ", None, None, None), (5, None, None, None, None, None), (6, None, "совсем другое qqq", None, None, None),
     ]
     rows = M.match(spark.createDataFrame(lines, LINE), *store).collect()
     return {(r["spec_item_id"], r["source_type"], r["rank"]): r for r in rows}
@@ -71,7 +71,7 @@ def test_nothing_to_search_for(found):
 @pytest.mark.parametrize(
     "channels, article, brand, want",
     [
-        ({"fuzzy": 0.8}, "A", None, 0.40), ({"lexical": 0.7}, None, None, 0.70), ({"fuzzy": 0.8, "lexical": 0.7}, "A", None, 0.75), ({"fuzzy": 0.8}, "A", "koelner", 0.50),
+        ({"fuzzy": 0.8}, "A", None, 0.40), ({"lexical": 0.7}, None, None, 0.70), ({"fuzzy": 0.8, "lexical": 0.7}, "A", None, 0.75), ({"fuzzy": 0.8}, "A", "torvald", 0.50),
         ({"exact": 1.0}, "A", None, 0.95), ({"lexical": 0.4, "code_exact": 1.0}, None, None, 0.65), ({"lexical": 0.5, "code_fuzzy": 0.8}, None, None, 0.596),
         ({"lexical": 0.5, "code_name": 1.0}, None, None, 0.68),
     ],
@@ -97,7 +97,7 @@ def test_segments_add_up(spark):
 
 
 def test_evaluation(spark, store):
-    gold = [(1, "x", "найдено", "BLT-M10-040-ZN", None), (2, "x", "аналог", None, "K-1"), (3, "x", "найдено", "WRONG", None), (4, "x", "не найдено", None, None), (5, "x", "сомнительно", None, None)]
+    gold = [(1, "x", "найдено", "SCR-T25-080-BR", None), (2, "x", "аналог", None, "K-1"), (3, "x", "найдено", "WRONG", None), (4, "x", "не найдено", None, None), (5, "x", "сомнительно", None, None)]
     gold = spark.createDataFrame(gold, "gold_id long, name string, label_status string, expected_article string, expected_code_1c string")
     candidates = spark.createDataFrame([(1, "c0", 1), (2, "c1", 1), (3, "c2", 1)], "spec_item_id long, item_id string, rank int")
     m = G.metrics(G.first_hit_ranks(gold, candidates, store[0])).first()
@@ -118,8 +118,25 @@ def test_replace_import_is_stable(spark):
 
 
 def test_transformations(spark):
-    rows = spark.createDataFrame([("S1", "Болт М10 // Sparta", None, 120.0, "", None), ("S2", "Гайка", "X", 110.0, "кг", "EUR")], "supplier_id string, name string, manufacturer string, price double, unit string, currency string")
+    rows = spark.createDataFrame([("S1", "Саморез Т25 // Orla", None, 120.0, "", None), ("S2", "Хомут", "X", 110.0, "кг", "EUR")], "supplier_id string, name string, manufacturer string, price double, unit string, currency string")
     texts = [("S1", r'{"vat_rate": 20, "default_unit": "шт", "brand_regex": "(.+?)\\s*//\\s*(\\S+)", "default_currency": "RUB"}'), ("S2", "{broken")]
     settings = transform.load_settings(spark.createDataFrame(texts, "supplier_id string, settings string"))
     got = {r["supplier_id"]: (r["name"], r["manufacturer"], float(r["price"]), r["unit"], r["currency"]) for r in transform.apply(rows, settings).collect()}
-    assert got == {"S1": ("Болт М10", "Sparta", 100.0, "шт", "RUB"), "S2": ("Гайка", "X", 110.0, "кг", "EUR")}
+    assert got == {"S1": ("Саморез Т25", "Orla", 100.0, "шт", "RUB"), "S2": ("Хомут", "X", 110.0, "кг", "EUR")}
+
+
+def test_imports_never_make_an_id_twice(spark):
+    stored = prepared(spark.createDataFrame([("i1", "S1", None, "K-1", "old", None, None, "шт", True, None)], ITEM)).withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    rows = spark.createDataFrame([("S1", 1, None, None, "no key", None, None, "шт")], "source_id string, line_number long, article_raw string, code_1c string, name string, manufacturer string, price decimal(18,4), unit string")
+    once = I.upsert(stored, rows)
+    twice = I.upsert(once.drop("change"), rows).collect()
+    assert len({r["item_id"] for r in twice}) == len(twice) == 3
+    assert all(r["created_at"] is not None for r in twice)
+
+
+def test_numbers_follow_the_own_prefix(spark):
+    schema = ITEM + ", created_at timestamp, supplier_sku string"
+    rows = [("i1", "S1", "A1", None, "n", None, None, None, True, None, None, "ABC-000007"), ("i2", "S1", "A2", None, "n", None, None, None, True, None, None, "OTHER-000900"), ("i3", "S1", "A3", None, "n", None, None, None, True, None, None, None)]
+    suppliers = spark.createDataFrame([("S1", "ABC")], "supplier_id string, prefix string")
+    got = {r["item_id"]: r["supplier_sku"] for r in I.assign_sku(prepared(spark.createDataFrame(rows, schema)), suppliers).collect()}
+    assert got == {"i1": "ABC-000007", "i2": "OTHER-000900", "i3": "ABC-000008"}

@@ -107,12 +107,28 @@ def linked_cards(items: DataFrame) -> DataFrame:
     return linked.join(cards, "card_id").select("item_id", "card_id")
 
 
-def _name_parts(names: DataFrame) -> DataFrame:
-    """name and its distinct substrings of one to three characters."""
+def _name_parts(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """The rows with each distinct part of their name of these lengths."""
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("name") - (k - 1)), lambda i: F.substring("name", i, F.lit(k)))
     none = F.array().cast("array<string>")
-    parts = F.flatten(F.array(*(F.when(F.length("name") >= k, cut(k)).otherwise(none) for k in (1, 2, 3))))
-    return names.select("name", F.explode(F.array_distinct(parts)).alias("part"))
+    parts = F.flatten(F.array(*(F.when(F.length("name") >= k, cut(k)).otherwise(none) for k in sizes)))
+    return rows.select("*", F.explode(F.array_distinct(parts)).alias("part"))
+
+
+def _inside(typed: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """query and item_id of items with the typed text inside their name. Texts of three characters or more meet names by
+    their first three; a shorter one is a part of a name itself, and as most names hold it, only the first `limit` items
+    of each part are kept, before they are dealt out."""
+    lowered = items.select("item_id", "source_type", F.col("name").alias("shown"), F.lower("name").alias("name"))
+    long = typed.filter(F.length("text") >= 3).select("query", "text", F.substring("text", 1, 3).alias("part"))
+    names = _name_parts(lowered.select("name").distinct(), (3,))
+    found = long.join(names, "part").filter(F.contains("name", "text")).select("query", "name").join(lowered, "name")
+    short = typed.filter(F.length("text") < 3)
+    asked = short.select(F.col("text").alias("part")).distinct()
+    parts = _name_parts(lowered, (1, 2)).join(F.broadcast(asked) if asked.limit(1000).count() < 1000 else asked, "part", "left_semi")
+    first = first_rows(parts, ["part"], [F.col("source_type"), F.col("shown"), F.col("item_id")], limit)
+    held = short.join(first, short["text"] == first["part"])
+    return found.select("query", "item_id").union(held.select("query", "item_id"))
 
 
 def manual_search(queries: DataFrame, items: DataFrame, limit: int = POOL) -> DataFrame:
@@ -120,14 +136,11 @@ def manual_search(queries: DataFrame, items: DataFrame, limit: int = POOL) -> Da
     then catalog cards, then by name. Returns query, item_id, place."""
     typed = queries.select("query", T.clean_string(F.col("query")).alias("q")).filter("q is not null").distinct()
     typed = typed.withColumns({"a": T.manual_article(F.col("q")), "text": F.lower("q")})
-    keyed = typed.select("query", "text", F.substring("text", 1, 3).alias("part"))
-    lowered = items.select("item_id", F.lower("name").alias("name"))
-    inside = keyed.join(_name_parts(lowered.select("name").distinct()), "part").filter(F.contains("name", "text")).select("query", "name")
     ids = [
         typed.join(items, typed["q"] == items["code_1c"]).select("query", "item_id"),
         typed.join(items, typed["q"] == items["supplier_sku"]).select("query", "item_id"),
         typed.join(items, typed["a"] == items["article_normalized"]).select("query", "item_id"),
-        inside.join(lowered, "name").select("query", "item_id"),
+        _inside(typed, items, limit),
     ]
     found = ids[0].union(ids[1]).union(ids[2]).union(ids[3]).distinct().join(items, "item_id").join(typed, "query")
     same = lambda c, x: F.coalesce(F.col(c) == F.col(x), F.lit(False)).desc()

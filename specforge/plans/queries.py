@@ -468,7 +468,7 @@ def e7(spark, d):
     return E.searchable(D.items(spark, d), D.sources(spark, d), E.SourceFilter(types=(D.PRICE_LIST,))).select("item_id", "source_type")
 
 
-_TYPED = "(SELECT CASE partkey % 3 WHEN 0 THEN coalesce(article, p_name) WHEN 1 THEN substr(full_name, 3, 12) ELSE 'C' || partkey END AS query FROM parts_ WHERE partkey % 100 = 0 GROUP BY 1)"
+_TYPED = "(SELECT CASE partkey % 3 WHEN 0 THEN coalesce(article, p_name) WHEN 1 THEN substr(full_name, 3, CASE WHEN partkey % 200 = 0 THEN 2 ELSE 12 END) ELSE 'C' || partkey END AS query FROM parts_ WHERE partkey % 100 = 0 GROUP BY 1)"
 
 
 @query("e8_manual_search", f""", it AS (SELECT * FROM items_ JOIN sources_ USING (source_id) WHERE is_active), q AS (SELECT query, {clean('query')} AS q FROM {_TYPED}), q2 AS (SELECT *, nullif(regexp_replace(upper(q), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '') AS a FROM q)
@@ -477,7 +477,7 @@ _TYPED = "(SELECT CASE partkey % 3 WHEN 0 THEN coalesce(article, p_name) WHEN 1
 def e8(spark, d):
     n = F.col("partkey") % 3
     typed = D.parts(spark, d).filter("partkey % 100 = 0").select(
-        F.when(n == 0, F.coalesce("article", "p_name")).when(n == 1, F.substring("full_name", 3, 12)).otherwise(F.concat(F.lit("C"), "partkey")).alias("query")
+        F.when(n == 0, F.coalesce("article", "p_name")).when(n == 1, F.substring("full_name", F.lit(3), F.when(F.col("partkey") % 200 == 0, 2).otherwise(12))).otherwise(F.concat(F.lit("C"), "partkey")).alias("query")
     )
     items = D.items(spark, d).filter("is_active").join(D.sources(spark, d), "source_id").withColumn("supplier_sku", F.lit(None).cast("string"))
     return E.manual_search(typed, settled(items)).withColumn("place", F.col("place").cast("long"))

@@ -65,12 +65,8 @@ def test_equal_texts_have_equal_fingerprints(docs, texts):
     assert by_id[6] == by_id[7] == by_id[15] and by_id[4] == by_id[5] and by_id[1] == by_id[2] == by_id[3] == ""
 
 
-def test_mixing_targets_and_copies(docs, texts, spark):
-    rows = mixing.plan(docs).collect()
-    sizes = collections.Counter()
-    for r in rows:
-        sizes[r["source"]] += r["size"]
-    assert len(rows) == len(texts) and all(r["source_size"] == sizes[r["source"]] for r in rows)
+def filled(sizes):
+    """Targets of the sources by filling in rounds."""
     total, order = sum(sizes.values()), [*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])]
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
     left, free, target = total, set(order), {}
@@ -79,7 +75,16 @@ def test_mixing_targets_and_copies(docs, texts, spark):
             target[s] = 3 * sizes[s]
         left -= sum(target[s] for s in over)
         free -= set(over)
-    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    return target | {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+
+
+def test_mixing_targets_and_copies(docs, texts, spark):
+    rows = mixing.plan(docs).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    assert len(rows) == len(texts) and all(r["source_size"] == sizes[r["source"]] for r in rows)
+    target = filled(sizes)
     for r in rows:
         rate = target[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
         assert r["target"] == pytest.approx(target[r["source"]])
@@ -317,3 +322,53 @@ def test_pipeline_stages_agree_with_brute_force(spark):
     mixed = stages["mixing"](spark, clean, data)
     assert mixed.columns == columns and set(r["doc_id"] for r in mixed.select("doc_id").collect()) <= set(rows.doc_id)
     assert stages["bpe"](spark, clean, data).count() == len(rows)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """All stages on the smallest table: what the classifier keeps is taken from its scores, the rest is computed here."""
+    import corpus_pipeline
+    import tiktoken
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet").filter(~toxicity.held_out()))
+    clean = {r["doc_id"] for r in model.score(docs, ["doc_id"]).collect() if r["score"] < toxicity.REJECT}
+    rows = {r["doc_id"]: (r["text"] or "", r["source"]) for r in docs.collect() if r["doc_id"] in clean}
+    last = {t: i for i, (t, _) in sorted(rows.items())}
+    rows = {i: rows[i] for i in last.values()}
+    sets = {}
+    for i, (t, _) in rows.items():
+        w = low(t).encode().split()
+        sets[i] = {tuple(w[j : j + min(5, len(w))]) for j in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(rows)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= 80 * (len(x) + len(y) - both) and root(a) != root(b):
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    rows = {i: x for i, x in rows.items() if root(i) == i}
+    n = {i: len(WORD.findall(t)) for i, (t, _) in rows.items()}
+    sizes = collections.Counter()
+    for i, (_, s) in rows.items():
+        sizes[s] += n[i]
+    target = filled(sizes)
+    path, pattern = bpe.public_vocabulary()
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = collections.Counter()
+    for i, (t, s) in rows.items():
+        rate = min(target[s] / sizes[s], 3.0) if sizes[s] else 0.0
+        drawn = int(hashlib.md5(f"{mixing.SEED} {i}".encode()).hexdigest()[:13], 16) / 2**52
+        tokens = public.encode_ordinary(t)
+        row = (i, len(tokens), hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        want[row] += math.floor(rate) + (drawn < rate - math.floor(rate))
+    got = collections.Counter(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in corpus_pipeline.run(spark, data).collect())
+    assert got == +want

@@ -51,12 +51,26 @@ def _overlap(na: str, nb: str, threshold: float) -> Column:
 
 def _by_rare_members(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """Pairs (i, j) with a rare member in common whose rare members in common, with all common members that both could
-    share, are enough."""
-    x = a.select(F.col("no").alias("i"), F.col("n").alias("na"), F.col("held").alias("ha"), F.explode("rare").alias("gram"))
-    y = b.select(F.col("no").alias("j"), F.col("n").alias("nb"), F.col("held").alias("hb"), F.explode("rare").alias("gram"))
+    share, are enough.
+
+    A left set that needs at least two rare members in common, whatever the other set, is looked up by pairs of its rare
+    members, which few sets share; the others by single ones. How many pairs meet tells how many members do.
+    """
+    smallest = b.agg(F.min("n")).first()[0] or 0
+    needed = F.ceil((F.col("n") + F.greatest(F.col("n") * threshold, F.lit(float(smallest)))) * F.lit(threshold / (1 + threshold)) - 1e-6) - F.col("f")
+    pairs = F.flatten(
+        F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y))))
+    )
     sized = (F.col("nb") >= F.col("na") * threshold - 1e-6) & (F.col("na") >= F.col("nb") * threshold - 1e-6)
-    met = x.join(y, "gram").filter(sized).groupBy("i", "j", "na", "nb", "ha", "hb").agg(F.count(F.lit(1)).alias("shared"))
-    return met.filter(F.col("shared") + _shareable("ha", "hb") >= _overlap("na", "nb", threshold)).select("i", "j")
+
+    def met(left: DataFrame, key: Column, shared: Column) -> DataFrame:
+        x = left.select(F.col("no").alias("i"), F.col("n").alias("na"), F.col("held").alias("ha"), F.explode(key).alias("key"))
+        y = b.select(F.col("no").alias("j"), F.col("n").alias("nb"), F.col("held").alias("hb"), F.explode(key).alias("key"))
+        found = x.join(y, "key").filter(sized).groupBy("i", "j", "na", "nb", "ha", "hb").agg(F.count(F.lit(1)).alias("meetings"))
+        return found.filter(shared + _shareable("ha", "hb") >= _overlap("na", "nb", threshold)).select("i", "j")
+
+    several = met(a.filter(needed >= 2), pairs, (1 + F.sqrt(1 + 8 * F.col("meetings"))) / 2)
+    return several.unionByName(met(a.filter(needed < 2), F.col("rare"), F.col("meetings")))
 
 
 def _by_common_members(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from specforge.plans import queries as core
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["b4_denoise_name", "b5_article_candidates", "b13_stems", "c2_vat_removal", "d7_upsert_replace", "d9_assign_sku", "d10_link_to_catalog", "e4_code_in_name", "e8_manual_search",
+CHECKED = ["b4_denoise_name", "b5_article_candidates", "b13_stems", "c2_vat_removal", "d7_upsert_replace", "d9_assign_sku", "d10_link_to_catalog", "e3_lexical_name", "e4_code_in_name", "e8_manual_search", "f13_match", "h1_gold_headers", "h2_gold_rows",
            "f1_brands", "f2_exact_lines", "g1_current_decisions", "g10_counters", "h5_metrics", "a11_rows", "a18_export", "r1_price_list_changes", "p3_decision_stream"]
 
 

@@ -146,6 +146,17 @@ def test_exact_dedup(docs, texts):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_one, near_dedup.keep_one])
+def test_extra_columns_with_clashing_names_stay_as_they_are(spark, docs, keep):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({c: F.concat(F.lit(f"own {c} "), F.coalesce("text", F.lit(""))) for c in ("did", "sha", "_did", "K", "n", "label", "component")})
+    rows = keep(clash)
+    assert rows.columns == clash.columns
+    for r in rows.collect():
+        assert all(r[c] == f"own {c} {r['text'] or ''}" for c in ("did", "sha", "_did", "K", "n", "label", "component"))
+
+
 def test_golomb_round_trip():
     r = np.random.default_rng(2)
     for values in (np.empty(0, np.uint64), np.array([0, 0, 5, 2**64 - 1], np.uint64), np.sort(r.integers(0, 2**63, 5000, np.uint64))):

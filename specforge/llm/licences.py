@@ -1,11 +1,12 @@
 """Licence scans by a positional index of rare words, in DataFrame expressions only.
 
 The index holds the words of licence notices and clauses with their positions. How many documents hold each of these
-words gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. A file's words
-are looked up by each template's highest-IDF words, whatever else the file holds: each occurrence votes for template and
-shift (position in the file less position in the template). Postings of one template that agree on the shift stand as in
-the template; the share of the template's looked-up IDF that agrees is the match. A match counts if the template's
-mandatory key phrase stands at that shift, too. Beside it, base labels come from phrases whose words stand consecutively.
+words gives its inverse document frequency (IDF), smoothed so that a word of every document keeps some. A template is
+known by its highest-IDF words. A file's rarest licence words are looked up: each occurrence names a template and a shift
+(position in the file less position in the template). There the template's postings are intersected with the file's: the
+share of the looked-up IDF that stands in its place is the match. The rarest words that are looked up are so many that no
+match can do without them all. A match counts if the template's mandatory key phrase stands at that shift, too. Beside
+it, base labels come from phrases whose words stand consecutively.
 """
 
 from __future__ import annotations
@@ -103,19 +104,24 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     idf = settle(idf.select("word", F.log(1 + F.lit(n + 1) / F.coalesce("df", F.lit(1))).alias("idf")))
     by_idf = Window.partitionBy("template").orderBy(F.desc("idf"), "word")
     index = _index(spark).join(F.broadcast(idf), "word").withColumn("place", F.dense_rank().over(by_idf)).filter(F.col("place") <= looked_up)
-    whole = index.groupBy("template").agg(F.sum("idf").alias("whole"))
-    index = settle(index.join(F.broadcast(whole), "template").select("template", "label", "word", "at", "idf", "whole"))
+    # without the rarest words, up to where they hold more than a match may lack, there is no match: only they bring files
+    rarer = Window.partitionBy("template").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    weighed = settle(index.withColumns({"whole": F.sum("idf").over(Window.partitionBy("template")), "before": F.coalesce(F.sum("idf").over(rarer), F.lit(0.0))}))
+    rare = weighed.filter(F.col("before") <= F.col("whole") * (1 - least_share) + 1e-9).select("template", "word", "at")
     held = rows.select("rid", F.explode("located").alias("o")).select("rid", "o.*")
+    candidates = held.join(F.broadcast(rare), "word").select("rid", "template", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    postings = weighed.groupBy("template", "label", "whole").agg(F.collect_list(F.struct("word", "at", "idf")).alias("postings"))
+    keys = _index(spark).filter("key").groupBy("template").agg(F.collect_list(F.struct("word", "at")).alias("phrase"))
+    templates = postings.join(F.broadcast(keys), "template")
+    stands = lambda p: F.array_contains("located", F.struct(p["word"].alias("word"), (p["at"] + F.col("shift")).alias("pos")))
     matches = (
-        held.join(F.broadcast(index), "word")
-        .groupBy("rid", "template", "label", "whole", (F.col("pos") - F.col("at")).alias("shift"))
-        .agg(F.sum("idf").alias("stands"))
+        settle(candidates)
+        .join(F.broadcast(templates), "template")
+        .join(rows.select("rid", "located"), "rid")
+        .withColumn("stands", F.aggregate(F.filter("postings", stands), F.lit(0.0), lambda s, p: s + p["idf"]))
         .withColumn("share", F.least(F.col("stands") / F.col("whole"), F.lit(1.0)))
-        .filter(F.col("share") >= least_share)
     )
-    keys = _index(spark).filter("key").groupBy("template").agg(F.collect_list(F.struct("word", "at")).alias("phrase"))
-    there = F.transform("phrase", lambda k: F.struct(k["word"].alias("word"), (k["at"] + F.col("shift")).alias("pos")))
-    verified = settle(matches).join(F.broadcast(keys), "template").join(rows.select("rid", "located"), "rid").filter(F.size(F.array_except(there, "located")) == 0)
+    verified = matches.filter(F.col("share") >= least_share).filter(F.size(F.filter("phrase", stands)) == F.size("phrase"))
     found = verified.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("score"))
     return rows.join(found, "rid", "left").select(
         "doc_id",

@@ -222,7 +222,9 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mode
         best, reached = (lexicon, bigrams), [*reached, now]
         if turn is None or gain < LEAST_GAIN:
             break
-        moved = summed.filter("part >= 0").mapInPandas(_move(bigrams, classes, turn), "word int, class int").collect()
+        # by themselves these few MB would be one task, but each word takes a millisecond
+        spread = summed.filter("part >= 0").repartition(spark.sparkContext.defaultParallelism, "part")
+        moved = spread.mapInPandas(_move(bigrams, classes, turn), "word int, class int").collect()
         classes = classes.copy()
         for r in moved:  # at most 1 / FREQUENT
             classes[r["word"]] = r["class"]

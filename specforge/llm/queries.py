@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, fingerprint, language_model, licences, mixing, near_dedup, paragraphs, suffix_dedup, toxicity
+from . import bpe, exact_dedup, fingerprint, jaccard_join, language_model, licences, mixing, near_dedup, paragraphs, prefix_trie, suffix_dedup, toxicity, variants
 
 
 def queries():
@@ -19,10 +19,20 @@ def queries():
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_licences": licences.op9_licences,
         "op10_paragraphs": paragraphs.op10_paragraphs,
+        "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_variants": variants.op13_variants,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    stated = {"op4_mixing": mixing.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    stated = {
+        "op4_mixing": mixing.OP4_SQL,
+        "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op11_jaccard_join": jaccard_join.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
+        "op13_variants": variants.OP13_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {name: sql for name, sql in stated.items() if sql}

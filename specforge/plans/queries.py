@@ -8,6 +8,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import cells as C
 from ..operators import gold as G
+from ..operators import hybrid as H
 from ..operators import importer as I
 from ..operators import insights as X
 from ..operators import matching as M
@@ -15,6 +16,7 @@ from ..operators import quality as Q
 from ..operators import review as R
 from ..operators import search as E
 from ..operators import transform as C2
+from ..operators import vectors as V
 from ..sources import tables as D
 from .storage import settled
 
@@ -483,6 +485,36 @@ def e8(spark, d):
     return E.manual_search(typed, settled(items)).withColumn("place", F.col("place").cast("long"))
 
 
+@query("e9_semantic_search", """WITH v AS (SELECT vec_id AS id, embedding::double[] AS e FROM embeddings WHERE list_dot_product(embedding::double[], embedding::double[]) > 0)
+ SELECT q.id AS query, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.id) AS rank
+ FROM v q JOIN v ON q.id % 100 = 0 QUALIFY rank <= 10""", tables=False)
+def e9(spark, d):
+    """The ten vectors nearest to each hundredth one, exactly."""
+    vectors = D.read(spark, d, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return V.nearest(V.vector_index(vectors), asked).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("e10_hybrid_search", f""", n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+ q AS (SELECT partkey AS query, {_GRAMS.format("p_name")} AS qg, {_STEMS.format("p_name", S.STOP_WORDS, _RU)} AS qs, e AS qe FROM parts_, n JOIN v ON vec_id = (partkey * 7 + 3) % n WHERE partkey % 100 = 0),
+ k AS (SELECT partkey AS id, {_GRAMS.format("full_name")} AS kg, {_STEMS.format("full_name", S.STOP_WORDS, _RU)} AS ks, e AS ke FROM parts_, n JOIN v ON vec_id = partkey % n),
+ x AS (SELECT query, id, len(list_intersect(qg, kg))::double / len(list_distinct(list_concat(qg, kg))) AS alike, len(list_intersect(qs, ks)) = len(qs) AS held, 1e-1 * len(qs) / len(ks) AS r,
+   round(list_cosine_similarity(qe, ke), 6) AS semantic FROM q, k),
+ y AS (SELECT query, id, round(CASE WHEN held THEN greatest(r / (r + 1), alike) WHEN alike >= 0.3::double - 1e-9 THEN alike ELSE 0 END, 6) AS lexical, semantic FROM x)
+ SELECT query, id, lexical, semantic, round(0.5::double * lexical + 0.5::double * semantic, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(0.5::double * lexical + 0.5::double * semantic, 9) DESC, id) AS rank
+ FROM y QUALIFY rank <= 10""")
+def e10(spark, d):
+    """Each hundredth part's name with a vector, against the full names and vectors of all parts."""
+    parts, vectors = settled(D.parts(spark, d).select("partkey", F.lower("p_name").alias("asked"), F.lower("full_name").alias("name_normalized"))), D.read(spark, d, "embeddings")
+    n = vectors.count()
+    given = lambda key: parts.withColumn("vec_id", key).join(vectors, "vec_id")
+    queries = given((F.col("partkey") * 7 + 3) % n).filter("partkey % 100 = 0").select(F.col("partkey").alias("query"), "asked", "embedding")
+    hits = E.lexical_hits(queries.select(F.col("asked").alias("query")), parts).withColumnsRenamed({"query": "asked", "key": "name_normalized"})
+    hits = queries.select("query", "asked").join(hits, "asked").join(parts.select(F.col("partkey").alias("id"), "name_normalized"), "name_normalized")
+    index = V.vector_index(given(F.col("partkey") % n), key="partkey")
+    return H.hybrid_search(index, queries, hits.select("query", "id", "score")).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("f1_brands", _POOLED + rf""", b AS (SELECT DISTINCT manufacturer_normalized AS brand FROM pooled WHERE length(manufacturer_normalized) >= 3 AND NOT regexp_matches(manufacturer_normalized, '[^\p{{L}}\p{{N}}_]')),
  w AS (SELECT spec_item_id, unnest(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+')) AS brand, generate_subscripts(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+'), 1) AS pos FROM spec_items_ WHERE manufacturer_raw IS NULL),
  f AS (SELECT spec_item_id, arg_min(brand, pos) AS found FROM w JOIN b USING (brand) GROUP BY 1)

@@ -419,14 +419,14 @@ def e1(spark, d):
 def _alike_sql(name: str, asked: str, known: str, threshold: float) -> str:
     """CTE `name` (query, key, score): all pairs of the values of two tables of one column that share enough trigrams."""
     grams = lambda c: _GRAMS.format(c)
-    return f""", {name}_q AS (SELECT row_number() OVER () AS i, v, {grams('v')} AS g FROM {asked}), {name}_k AS (SELECT row_number() OVER () AS j, v, {grams('v')} AS g FROM {known}),
+    return f""", {name}_q AS MATERIALIZED (SELECT row_number() OVER () AS i, v, {grams('v')} AS g FROM {asked}), {name}_k AS MATERIALIZED (SELECT row_number() OVER () AS j, v, {grams('v')} AS g FROM {known}),
  {name}_p AS (SELECT i, j, na, nb, count(*) AS c FROM (SELECT i, len(g) AS na, unnest(g) AS w FROM {name}_q) JOIN (SELECT j, len(g) AS nb, unnest(g) AS w FROM {name}_k) USING (w)
    WHERE nb >= {threshold} * na AND na >= {threshold} * nb GROUP BY ALL HAVING count(*)::double / (na + nb - count(*)) >= {threshold}::double - 1e-9),
  {name} AS (SELECT q.v AS query, k.v AS key, c::double / (na + nb - c) AS score FROM {name}_p JOIN {name}_q q USING (i) JOIN {name}_k k USING (j))"""
 
 
 def _best_sql(name: str, hits: str, column: str) -> str:
-    return f", {name} AS (SELECT query, item_id, score FROM {hits} JOIN pooled ON {column} = key QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, name, item_id) <= 20)"
+    return f", {name} AS MATERIALIZED (SELECT query, item_id, score FROM {hits} JOIN pooled ON {column} = key QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, name, item_id) <= 20)"
 
 
 _NAMES_SQL = f""", asked_names AS (SELECT DISTINCT lower(name) AS v FROM denoised WHERE name IS NOT NULL), known_names AS (SELECT DISTINCT name_normalized AS v FROM pooled WHERE name_normalized IS NOT NULL){_alike_sql('alike', 'asked_names', 'known_names', E.NAME_SIMILARITY)},
@@ -548,20 +548,20 @@ def _round_sql(x: str, digits: int) -> str:
 
 _CANDS = _CANDIDATES.format("name_raw")
 #: The whole match over the item store: channels, merged hits, scores, ranks, promoted cards. The stages are named as the functions are.
-_MATCH_SQL = rf""", {_DENOISED}, pooled AS (SELECT i.*, source_type FROM stored_ i JOIN sources_ USING (source_id) WHERE is_active AND status = 'active'),
+_MATCH_SQL = rf""", {_DENOISED}, pooled AS MATERIALIZED (SELECT i.*, source_type FROM stored_ i JOIN sources_ USING (source_id) WHERE is_active AND status = 'active'),
  known_brands AS (SELECT DISTINCT manufacturer_normalized AS brand FROM pooled WHERE length(manufacturer_normalized) >= 3 AND NOT regexp_matches(manufacturer_normalized, '[^\p{{L}}\p{{N}}_]')),
  named AS (SELECT spec_item_id, arg_min(brand, pos) AS found FROM (SELECT spec_item_id, unnest(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+')) AS brand, generate_subscripts(regexp_extract_all(lower(name_raw), '[\p{{L}}\p{{N}}_]+'), 1) AS pos FROM spec_items_ WHERE manufacturer_raw IS NULL) JOIN known_brands USING (brand) GROUP BY 1),
- lines AS (SELECT spec_item_id, {article('article_raw')} AS article, lower(denoised.name) AS lexical_query, name_raw, coalesce(lower(trim(manufacturer_raw)), found) AS brand, lower(trim(unit_raw)) AS unit FROM spec_items_ JOIN denoised USING (spec_item_id) LEFT JOIN named USING (spec_item_id)),
+ lines AS MATERIALIZED (SELECT spec_item_id, {article('article_raw')} AS article, lower(denoised.name) AS lexical_query, name_raw, coalesce(lower(trim(manufacturer_raw)), found) AS brand, lower(trim(unit_raw)) AS unit FROM spec_items_ JOIN denoised USING (spec_item_id) LEFT JOIN named USING (spec_item_id)),
  all_articles AS (SELECT article_normalized AS code, item_id FROM pooled WHERE article_normalized IS NOT NULL QUALIFY row_number() OVER (PARTITION BY article_normalized ORDER BY source_type, name, item_id) <= 20),
- exact_hits AS (SELECT spec_item_id, item_id FROM lines JOIN all_articles ON article = code),
- rest AS (SELECT * FROM lines ANTI JOIN exact_hits USING (spec_item_id)),
- mined AS (SELECT spec_item_id, unnest(list_distinct({_CANDS})) AS code FROM rest WHERE article IS NULL),
+ exact_hits AS MATERIALIZED (SELECT spec_item_id, item_id FROM lines JOIN all_articles ON article = code),
+ rest AS MATERIALIZED (SELECT * FROM lines ANTI JOIN exact_hits USING (spec_item_id)),
+ mined AS MATERIALIZED (SELECT spec_item_id, unnest(list_distinct({_CANDS})) AS code FROM rest WHERE article IS NULL),
  mined_exact AS (SELECT spec_item_id, code, item_id FROM mined JOIN all_articles USING (code)),
  mined_left AS (SELECT * FROM mined ANTI JOIN mined_exact USING (spec_item_id, code)),
  asked_articles AS (SELECT article AS v FROM rest WHERE article IS NOT NULL UNION SELECT code FROM mined_left), known_articles AS (SELECT DISTINCT article_normalized AS v FROM pooled WHERE article_normalized IS NOT NULL){_alike_sql('near', 'asked_articles', 'known_articles', E.ARTICLE_SIMILARITY)}{_best_sql('fuzzy', 'near', 'article_normalized')}{_NAMES_SQL.replace("FROM denoised WHERE name IS NOT NULL", "FROM denoised SEMI JOIN rest USING (spec_item_id) WHERE name IS NOT NULL")},
  tokens AS (SELECT spec_item_id, unnest(list_distinct(regexp_extract_all(name_raw, '[0-9]{{5,}}'))) AS code FROM rest),
  token_hits AS (SELECT query, name_normalized AS key, 1.0::double AS score FROM (SELECT DISTINCT code AS query FROM tokens) JOIN (SELECT DISTINCT name_normalized FROM pooled WHERE regexp_matches(name_normalized, '[0-9]{{5}}')) ON contains(name_normalized, query)){_best_sql('in_names', 'token_hits', 'name_normalized')},
- hits AS (SELECT spec_item_id, item_id, 'exact' AS channel, 1.0::double AS score, NULL AS code FROM exact_hits
+ hits AS MATERIALIZED (SELECT spec_item_id, item_id, 'exact' AS channel, 1.0::double AS score, NULL AS code FROM exact_hits
    UNION ALL SELECT spec_item_id, item_id, 'fuzzy', score, NULL FROM rest JOIN fuzzy ON query = article
    UNION ALL SELECT spec_item_id, item_id, 'lexical', score, NULL FROM rest JOIN lexical ON query = lexical_query
    UNION ALL SELECT spec_item_id, item_id, 'code_exact', 1.0, code FROM mined_exact
@@ -583,12 +583,12 @@ _MATCH_SQL = rf""", {_DENOISED}, pooled AS (SELECT i.*, source_type FROM stored_
      CASE how WHEN 'exact' THEN 'код из наименования совпал (' || coded.code || ')' WHEN 'in_name' THEN 'код найден в наименовании каталога (' || coded.code || ')' WHEN 'fuzzy' THEN 'код из наименования похож' END,
      CASE WHEN lexical > 0 THEN 'наименование близко (score=' || {_round_sql('lexical', 6)}::decimal(10,6)::decimal(4,2)::varchar || ')' END,
      CASE WHEN brand_match THEN 'совпал бренд' END, CASE WHEN unit_match THEN 'совпала единица измерения' END) AS why FROM scored),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY spec_item_id, source_type ORDER BY confidence DESC, name, item_id) AS rank FROM typed QUALIFY rank <= 5),
+ ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY spec_item_id, source_type ORDER BY confidence DESC, name, item_id) AS rank FROM typed QUALIFY rank <= 5),
  own_cards AS (SELECT * FROM ranked WHERE source_type = 'company_catalog'),
- promoted AS (SELECT spec_item_id, card_id AS item_id, 'company_catalog' AS source_type, c.name, b.confidence, 'hybrid' AS match_type, b.why
+ promoted AS (SELECT b.spec_item_id, b.card_id AS item_id, 'company_catalog' AS source_type, c.name, b.b.confidence, 'hybrid' AS match_type, b.b.why
    FROM (SELECT spec_item_id, s.linked_catalog_item_id AS card_id, arg_max({{'confidence': confidence, 'why': why}}, {{'confidence': confidence, 'item_id': r.item_id}}) AS b
-         FROM ranked r JOIN stored_ s USING (item_id) WHERE source_type = 'supplier_pricelist' AND s.linked_catalog_item_id IS NOT NULL GROUP BY 1, 2)
-   JOIN stored_ c ON c.item_id = card_id AND c.is_active WHERE (spec_item_id, card_id) NOT IN (SELECT (spec_item_id, item_id) FROM own_cards)),
+         FROM ranked r JOIN stored_ s USING (item_id) WHERE source_type = 'supplier_pricelist' AND s.linked_catalog_item_id IS NOT NULL GROUP BY 1, 2) b
+   JOIN stored_ c ON c.item_id = b.card_id AND c.is_active ANTI JOIN own_cards o ON o.spec_item_id = b.spec_item_id AND o.item_id = b.card_id),
  cards_again AS (SELECT spec_item_id, item_id, source_type, name, confidence, match_type, why, row_number() OVER (PARTITION BY spec_item_id ORDER BY confidence DESC, name, item_id) AS rank
    FROM (SELECT spec_item_id, item_id, source_type, name, confidence, match_type, why FROM own_cards UNION ALL SELECT * FROM promoted) QUALIFY rank <= 5),
  matched AS (SELECT spec_item_id, item_id, source_type, confidence, match_type, rank, CASE WHEN why = '' THEN 'слабое совпадение' ELSE upper(left(why, 1)) || substr(why, 2) END AS why FROM cards_again

@@ -17,8 +17,9 @@ from ..operators import review as R
 from ..operators import search as E
 from ..operators import transform as C2
 from ..operators import vectors as V
+from ..sources import files as L
 from ..sources import tables as D
-from .storage import settled
+from .storage import settled, shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,6 +47,20 @@ def query(name: str, sql: str | None = None, tables: bool = True):
     return add
 
 
+# --- delimited files ---------------------------------------------------------------------------------------------------
+
+
+@query("a1_delimited", """ SELECT partkey::varchar AS partkey, replace(p_name, ' ', chr(10)) || ' "' || brand || '"' AS name, full_name || ';' AS other, (partkey % 50)::varchar AS stock FROM parts_""")
+def a1(spark, d):
+    """Parts written as files with line breaks, quotes and delimiters inside quotes, and read again in pieces."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    name = quoted(F.concat(F.translate("p_name", " ", "\n"), F.lit(' "'), "brand", F.lit('"')))
+    path = shared_path(spark)
+    D.parts(spark, d).select(F.concat_ws(";", F.col("partkey").cast("string"), name, quoted(F.concat("full_name", F.lit(";"))), (F.col("partkey") % 50).cast("string")).alias("value")).write.text(path)
+    rows = L.read_delimited(spark, path, delimiter=";").groupBy("file_id", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("x"))
+    return rows.select(*(F.col("x")[i].alias(name) for i, name in enumerate(("partkey", "name", "other", "stock"))))
+
+
 # --- scalar functions -------------------------------------------------------------------------------------------------
 
 

@@ -5,15 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write a table to the folder that the cluster shares (spark.checkpoint.dir; a new local one only where none is
-    set, as in tests) and read it back. A lost executor then costs no recomputation of what lies before."""
-    context = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only a local session, as in tests, may go
+    without one and gets a folder of its own."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back. A lost executor then costs no recomputation of what lies
+    before."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,9 @@
 """Files to cells to rows, and the streaming jobs."""
 
+import csv
+import io
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +37,53 @@ def test_encoding_delimiter_header_rows(spark, folder):
     assert {(r["field"], r["value"]) for r in C.parse_warnings(rows).collect()} == {("quantity", "много"), ("price", "по запросу")}
 
 
+def by_hand(text, delimiter):
+    rows = csv.reader(io.StringIO(text, newline=None), delimiter=delimiter)
+    return [row or [""] for row in rows]
+
+
+def cells_read(spark, path, **options):
+    rows = {}
+    for r in files.read_delimited(spark, path, **options).collect():
+        rows.setdefault(os.path.basename(r["file_id"]), {}).setdefault(r["row_idx"], {})[r["col_idx"]] = r["value"]
+    return {f: [[row[c] for c in sorted(row)] for _, row in sorted(x.items())] for f, x in rows.items()}
+
+
+@pytest.mark.parametrize("delimiter", [",", "\t"])
+def test_files_are_cut_into_pieces_and_records(spark, tmp_path, delimiter):
+    """Quoted delimiters, quotes and line breaks, stray quotes, a break at the end, over many pieces of a file."""
+    r = random.Random(8)
+    texts = {}
+    for n in range(3):
+        value = lambda: "".join(r.choice(["a", "é", delimiter, '"', "\n", " ", "bc"]) for _ in range(r.randrange(6)))
+        out = io.StringIO()
+        writer = csv.writer(out, delimiter=delimiter, lineterminator="\n")
+        for i in range(400):
+            writer.writerow([str(i), *(value() for _ in range(r.randrange(1, 4)))])
+        text = out.getvalue() + f'5" pipe{delimiter}a"b"c{delimiter}"x""y"z{delimiter}""\n' * 3
+        texts[f"{n}.csv"] = text + (f'9{delimiter}"never closed\n{delimiter}"" on\n1{delimiter}2' if n == 2 else "")
+        (tmp_path / f"{n}.csv").write_text(texts[f"{n}.csv"])
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert files.read_lines(spark, str(tmp_path)).select("file_id", "block").distinct().count() > 12
+        got = cells_read(spark, str(tmp_path), delimiter=delimiter)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {name: by_hand(text, delimiter) for name, text in texts.items()}
+
+
+def test_overrides(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Наименование;a,b\nболт;1,2\n".encode("cp1251"))
+    assert cells_read(spark, str(tmp_path), encoding="windows-1251", delimiter=",") == {"a.csv": [["Наименование;a", "b"], ["болт;1", "2"]]}
+    (tmp_path / "a.csv").write_text("name,code,qty\nНаименование,Артикул,шт\nболт,7,3\n")
+    cells = files.read_delimited(spark, str(tmp_path))
+    assert {r["header_row"] for r in C.detect_headers(cells, header_row=1).collect()} == {1}
+
+
 @pytest.mark.parametrize(
     "header, excluded, want",
     [

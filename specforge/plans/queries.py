@@ -683,6 +683,27 @@ def f16(spark, d):
     return M.persisted(_matched(spark, d)).select("spec_item_id", "item_id", F.col("confidence").cast("double").alias("confidence"), "match_type", F.col("rank").cast("long").alias("rank"))
 
 
+_IMPORTED_SQL = """, imported_ AS MATERIALIZED (SELECT * REPLACE (CASE WHEN renamed THEN name || ' new' ELSE name END AS name, CASE WHEN renamed THEN name_normalized || ' new' ELSE name_normalized END AS name_normalized,
+   is_active AND NOT (source_id <> 'catalog' AND key_ % 40 = 1) AS is_active) FROM (SELECT *, source_id = 'catalog' AND key_ % 40 = 0 AS renamed FROM stored_))"""
+
+
+def _imported(items):
+    """The item store after an import that renames some cards and drops some offers."""
+    key, card = F.split_part(F.substring("item_id", F.lit(2), F.length("item_id")), F.lit("-"), F.lit(1)).cast("long"), F.col("source_id") == "catalog"
+    renamed = lambda c: F.when(card & (key % 40 == 0), F.concat(c, F.lit(" new"))).otherwise(F.col(c))
+    return items.withColumns({"name": renamed("name"), "name_normalized": renamed("name_normalized"), "is_active": F.col("is_active") & ~(~card & (key % 40 == 1))})
+
+
+@query("f17_rematch_import", _IMPORTED_SQL + _MATCH_SQL.replace("stored_ ", "imported_ ") + " SELECT spec_item_id, item_id, rank, confidence::double AS confidence, match_type FROM matched")
+def f17(spark, d):
+    """Candidates after an import, by matching again only the lines that it can reach."""
+    items, sources = settled(D.stored_items(spark, d)), D.sources(spark, d)
+    imported = settled(_imported(items))
+    before = settled(_matched(spark, d))
+    after = M.rematch_changed(D.spec_items(spark, d), (items, sources), (imported, sources), before)
+    return after.select("spec_item_id", "item_id", F.col("rank").cast("long").alias("rank"), F.col("confidence").cast("double").alias("confidence"), "match_type")
+
+
 _EXPLAINED = "CASE WHEN rank = 1 THEN 'Артикул совпал точно' WHEN confidence = 0 THEN 'слабое совпадение' ELSE 'Наименование близко (score=' || round(confidence, 2)::decimal(3,2)::varchar || ')' END"
 
 

@@ -7,7 +7,10 @@ from specforge.operators import gold as G
 from specforge.operators import importer as I
 from specforge.operators import matching as M
 from specforge.operators import review as R
+from specforge.operators import search as E
 from specforge.operators import transform
+from specforge.plans.storage import settled
+from specforge.sources import tables as D
 from specforge.sources.tables import prepared
 
 CATALOG = [
@@ -140,3 +143,15 @@ def test_numbers_follow_the_own_prefix(spark):
     suppliers = spark.createDataFrame([("S1", "ABC")], "supplier_id string, prefix string")
     got = {r["item_id"]: r["supplier_sku"] for r in I.assign_sku(prepared(spark.createDataFrame(rows, schema)), suppliers).collect()}
     assert got == {"i1": "ABC-000007", "i2": "OTHER-000900", "i3": "ABC-000008"}
+
+
+def test_only_reached_lines_are_matched_again(spark, data):
+    """Of the lines, those that an import can reach are few; the others keep candidates that a full match would give."""
+    lines, items, sources = D.spec_items(spark, data), settled(D.stored_items(spark, data)), D.sources(spark, data)
+    key = F.split_part(F.expr("substring(item_id, 2)"), F.lit("-"), F.lit(1)).cast("long")
+    other = settled(items.withColumn("name_normalized", F.when(key == 40, F.concat("name_normalized", F.lit(" new"))).otherwise(F.col("name_normalized"))))
+    queries = settled(M.match_inputs(lines).drop("spec_item_id").dropDuplicates(["qid"]))
+    pool = lambda df: settled(E.searchable(df, sources).select(*M.POOLED, "linked_catalog_item_id"))
+    old, new = pool(items), pool(other)
+    assert 0 < M.affected_queries(queries, old, new).count() < 0.2 * queries.count()
+    assert M.affected_queries(queries, old, old).isEmpty()

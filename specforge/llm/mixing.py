@@ -84,13 +84,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: every document as many times as the plan takes it, with the columns of the input."""
-    did, digest, copies, copy = aside(docs.columns, "did", "digest", "copies", "copy")
-    taken = plan(docs, **options).groupBy("doc_id", "digest").agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
-    taken = taken.withColumnsRenamed({"doc_id": f"{did}_", "digest": f"{digest}_"})
-    keyed = docs.withColumns({did: F.col("doc_id").cast("long"), digest: _digest()})
+    """The mixture: every document as many times as the plan takes it, with the columns of the input. Rows of one id,
+    source and text draw alike; rows that repeat an id in several sources are taken at the rate of each."""
+    did, origin, digest, copies, copy = aside(docs.columns, "did", "origin", "digest", "copies", "copy")
+    taken = plan(docs, **options).groupBy("doc_id", "source", "digest").agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    taken = taken.withColumnsRenamed({"doc_id": f"{did}_", "source": f"{origin}_", "digest": f"{digest}_"})
+    keyed = docs.withColumns({did: F.col("doc_id").cast("long"), origin: F.col("source").cast("string"), digest: _digest()})
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"{c}_"))
     return (
-        keyed.join(taken, F.col(did).eqNullSafe(F.col(f"{did}_")) & F.col(digest).eqNullSafe(F.col(f"{digest}_")))
+        keyed.join(taken, same(did) & same(origin) & same(digest))
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*docs.columns)
     )

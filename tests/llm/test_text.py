@@ -93,6 +93,14 @@ def test_mixing_targets_and_copies(docs, texts, spark):
     assert mixing.mix(docs).count() == sum(r["copies"] for r in rows)
 
 
+def test_the_mixture_is_the_plan_where_ids_repeat_over_sources(spark):
+    texts = [(i % 7, "word " * (1 + i % 5) + str(i % 3), ["x", "y", None][i % 3] if i % 4 else "big", "a", "b") for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, origin string, copies string")
+    taken = sorted((repr(r["source"]), r["n"]) for r in mixing.plan(docs).groupBy("source").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect() if r["n"])
+    assert len(taken) > 2 and len({n for _, n in taken}) > 1
+    assert sorted((repr(r["source"]), r["count"]) for r in mixing.mix(docs).groupBy("source").count().collect()) == taken
+
+
 def test_mixing_takes_extra_copies_as_often_as_the_fraction_says(spark):
     texts = [(i, "w " * (5 + i % 40), f"s{i % 7}") for i in range(6000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string")

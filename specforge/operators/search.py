@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..plans.similarity_join import containment_join, digit_substring_join, first_rows, set_similarity_join
+from ..plans.similarity_join import SetIndex, containment_join, digit_substring_join, first_rows, set_similarity_join
 from ..plans.storage import settled
 
 POOL = 20
 ARTICLE_SIMILARITY, NAME_SIMILARITY = 0.4, 0.3
+#: Similarities that names are searched for first, highest first: a query whose pool is full at one of them is done.
+NAME_LEVELS = (0.6,)
 
 
 @dataclass(frozen=True)
@@ -36,16 +38,23 @@ def searchable(items: DataFrame, sources: DataFrame, wanted: SourceFilter = Sour
     return joined
 
 
+def _counted(items: DataFrame, column: str, pool: int) -> DataFrame:
+    """key and n: how many items hold each value of a column, up to `pool`."""
+    counts = items.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("n", F.least("n", F.lit(pool)))
+
+
 def _best(hits: DataFrame, items: DataFrame, column: str, pool: int) -> DataFrame:
     """Hits (query, key, score) on distinct values of an item column -> items. Values are taken best first until they
-    hold `pool` items, so a query never expands into more items than it keeps by much."""
+    hold `pool` items, so a query never expands into more items than it keeps by much. How far that goes follows from how
+    many items each score of a query has, which is summed before it is shuffled."""
     ordered = items.filter(F.col(column).isNotNull()).select(F.col(column).alias("key"), "item_id", "name")
     few = first_rows(ordered, ["key"], [F.col("name"), F.col("item_id")], pool)
-    sizes = few.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # items under strictly better scores: all up to this score, less those of it
-    up_to = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0))
-    enough = hits.join(sizes, "key").withColumn("better", up_to - F.sum("n").over(Window.partitionBy("query", "score")))
-    taken = enough.filter(F.col("better") < pool).join(few, "key")
+    hits = settled(hits.join(_counted(items, column, pool), "key"))
+    scores = hits.groupBy("query", "score").agg(F.sum("n").alias("n"))
+    better = F.coalesce(F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = scores.withColumn("better", better).filter(F.col("better") < pool).groupBy("query").agg(F.min("score").alias("least"))
+    taken = hits.join(least, "query").filter(F.col("score") >= F.col("least")).join(few, "key")
     return first_rows(taken, ["query"], [F.desc("score"), F.col("name"), F.col("item_id")], pool).select("query", "item_id", "score")
 
 
@@ -68,13 +77,15 @@ def fuzzy_article(queries: DataFrame, items: DataFrame, threshold: float = ARTIC
     return _best(hits, items, "article_normalized", pool)
 
 
-def lexical_hits(queries: DataFrame, items: DataFrame, threshold: float = NAME_SIMILARITY) -> DataFrame:
-    """(query, key, score) over distinct names: all stems of the query present, or alike by trigrams; the score is the
-    larger of the similarity and the rank of the stems."""
-    left, right = (
+def _name_sets(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, members (trigrams) and stems of the distinct queries and names."""
+    return tuple(
         settled(_distinct_sets(df, column, S.trigrams(F.col("id"))).withColumn("stems", S.stems(F.col("id")))) for df, column in ((queries, "query"), (items, "name_normalized"))
     )
-    alike = set_similarity_join(left.select("id", "members"), right.select("id", "members"), threshold).select("left_id", "right_id", "score")
+
+
+def _all_name_hits(left: DataFrame, right: DataFrame, index: SetIndex, threshold: float) -> DataFrame:
+    alike = set_similarity_join(left.select("id", "members"), index, threshold).select("left_id", "right_id", "score")
     held = containment_join(left.select("id", F.col("stems").alias("members")), right.select("id", F.col("stems").alias("members")))
     facts = lambda df, k: df.select(F.col("id").alias(f"{k}_id"), F.col("stems").alias(f"{k}_stems"), F.col("members").alias(f"{k}_grams"))
     held = held.join(facts(left, "left"), "left_id").join(facts(right, "right"), "right_id")
@@ -84,9 +95,32 @@ def lexical_hits(queries: DataFrame, items: DataFrame, threshold: float = NAME_S
     return both.select(F.col("left_id").alias("query"), F.col("right_id").alias("key"), "score")
 
 
-def lexical_name(queries: DataFrame, items: DataFrame, threshold: float = NAME_SIMILARITY, pool: int = POOL) -> DataFrame:
-    """queries: query (a normalised name)."""
-    return _best(lexical_hits(queries, items, threshold), items, "name_normalized", pool)
+def lexical_hits(queries: DataFrame, items: DataFrame, threshold: float = NAME_SIMILARITY) -> DataFrame:
+    """(query, key, score) over distinct names: all stems of the query present, or alike by trigrams; the score is the
+    larger of the similarity and the rank of the stems."""
+    left, right = _name_sets(queries, items)
+    return _all_name_hits(left, right, SetIndex(right.select("id", "members")), threshold)
+
+
+def lexical_name(queries: DataFrame, items: DataFrame, threshold: float = NAME_SIMILARITY, pool: int = POOL, levels: tuple[float, ...] = NAME_LEVELS) -> DataFrame:
+    """queries: query (a normalised name).
+
+    The threshold of a query rises with what it has found: names are searched for at high similarities first, where few
+    meet, and a query with `pool` items at one of these levels needs nothing below. (The rank of stems is under 0.1, so it
+    lifts no hit over a level.) Only the others are looked up at the threshold itself.
+    """
+    left, right = _name_sets(queries, items)
+    index, counted, found = SetIndex(right.select("id", "members")), settled(_counted(items, "name_normalized", pool)), []
+    for level in levels:
+        alike = settled(set_similarity_join(left.select("id", "members"), index, level))
+        full = settled(alike.join(counted, alike["right_id"] == counted["key"]).groupBy(F.col("left_id").alias("id")).agg(F.sum("n").alias("n")).filter(F.col("n") >= pool).select("id"))
+        done = alike.join(full, alike["left_id"] == full["id"], "left_semi")
+        found.append(done.select(F.col("left_id").alias("query"), F.col("right_id").alias("key"), "score"))
+        left = settled(left.join(full, "id", "left_anti"))
+    hits = _all_name_hits(left, right, index, threshold)
+    for more in found:
+        hits = hits.unionByName(more)
+    return _best(hits, items, "name_normalized", pool)
 
 
 def code_in_name(queries: DataFrame, items: DataFrame, pool: int = POOL) -> DataFrame:

@@ -92,7 +92,16 @@ def _by_common_members(a: DataFrame, b: DataFrame, threshold: float) -> DataFram
     return left.join(kinds, ["ca", "na"]).join(right, ["cb", "nb"]).select("i", "j")
 
 
-def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+class SetIndex:
+    """The right side of set similarity joins, (id, members), prepared once for several of them."""
+
+    def __init__(self, right: DataFrame):
+        ranked = _frequencies(right).filter(F.col("df") > COMMON_SHARE * right.count()).orderBy(F.desc("df"), "gram").limit(COMMON)
+        self.common = [r["gram"] for r in ranked.collect()][::-1]  # rarest first
+        self.sets = _split(right, self.common)
+
+
+def set_similarity_join(left: DataFrame, right: DataFrame | SetIndex, threshold: float) -> DataFrame:
     """Pairs (left_id, right_id, score) of sets (id, members) whose Jaccard similarity is at least the threshold.
 
     Members in most sets bring no pair together: either the rare members that two sets share, with all common ones that
@@ -100,9 +109,8 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) ->
     equality joins, and the few that remain are verified. No pair is lost. Empty sets match nothing; ids must be unique
     on each side.
     """
-    ranked = _frequencies(right).filter(F.col("df") > COMMON_SHARE * right.count()).orderBy(F.desc("df"), "gram").limit(COMMON)
-    common = [r["gram"] for r in ranked.collect()][::-1]  # rarest first
-    a, b = _split(left, common), _split(right, common)
+    index = right if isinstance(right, SetIndex) else SetIndex(right)
+    a, b = _split(left, index.common), index.sets
     pairs = settled(_by_rare_members(a, b, threshold).unionByName(_by_common_members(a, b, threshold)).distinct())
     score = jaccard(F.col("x"), F.col("y"))
     return (

@@ -155,3 +155,15 @@ def test_only_reached_lines_are_matched_again(spark, data):
     old, new = pool(items), pool(other)
     assert 0 < M.affected_queries(queries, old, new).count() < 0.2 * queries.count()
     assert M.affected_queries(queries, old, old).isEmpty()
+
+
+def test_levels_change_no_search(spark):
+    """Queries with many, few and no names at the high level; crowds of equal scores; one word that most names hold."""
+    kinds = ["болт", "гайка м8", "шайба", "винт оцинкованный", "bolt", "m8 washer"]
+    names = [f"{kinds[i % 6]} {'стальной' if i % 3 else 'латунный'} {i % 17}" for i in range(300)]
+    items = spark.createDataFrame([(f"i{i}", n, n.lower()) for i, n in enumerate(names)], "item_id string, name string, name_normalized string")
+    asked = spark.createDataFrame([(q,) for q in [*names[:12], "болт", "bolt", "болт стальной 999", "нечто", "гайка"]], "query string")
+    found = lambda levels, pool: sorted(map(tuple, E.lexical_name(asked, items, pool=pool, levels=levels).collect()))
+    for pool in (3, 20):
+        assert found((), pool) == found((0.8, 0.5), pool)
+    assert len(found((0.8, 0.5), 3)) > 40

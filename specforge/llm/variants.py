@@ -2,7 +2,7 @@
 
 The words of a vocabulary stand in two tries, one read from the front and one from the back. A node is numbered by its
 first word in code-point order and its depth, so that two words share a number exactly if they share that prefix or
-suffix. A word that skips its i-th code point is the pair (node of the prefix before it, node of the suffix behind it);
+suffix. Nodes near the roots, through which most words go, are numbered by their few code points instead. A word that skips its i-th code point is the pair (node of the prefix before it, node of the suffix behind it);
 a word cut at i without skipping is the pair of the nodes on both sides. Words that skip to the same pair differ by one
 replaced code point; a word that skips to the pair at which another one is cut has one more. So all neighbours come from
 equality of integers, and none is lost.
@@ -30,6 +30,9 @@ EVERY = 97
 #: A form has at least so many times the occurrences of the word that it stands for.
 TIMES = 2
 
+#: Nodes up to this depth are numbered by their code points (21 bits each), which spreads their words.
+TOP = 3
+
 _MOD, _BASE = 2**127 - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835
 
 
@@ -50,52 +53,63 @@ def vocabulary(words: DataFrame, least_length: int = LEAST_LENGTH, least_count:
     return counts.filter(F.col("n") >= least_count)
 
 
-def _prefixes(word: str) -> list[bytes]:
-    """A 127-bit polynomial hash of each prefix, the empty one first."""
-    h, out = 1, [(1).to_bytes(16, "big")]
-    for c in word:
+def _prefixes(word: str) -> tuple[list[int | None], list[bytes | None]]:
+    """For each prefix, the empty one first: a negative number for one of TOP code points at most, else a 127-bit
+    polynomial hash."""
+    h, top, hashes, numbers = 1, 0, [None], [-1]
+    for depth, c in enumerate(word, 1):
         h = (h * _BASE + ord(c) + 1) % _MOD
-        out.append(h.to_bytes(16, "big"))
-    return out
+        if depth <= TOP:
+            top = top << 21 | ord(c)
+        numbers.append(-1 - top if depth <= TOP else None)
+        hashes.append(None if depth <= TOP else h.to_bytes(16, "big"))
+    return numbers, hashes
+
+
+_PLACES = {"no": pa.int64(), "i": pa.int32(), "j": pa.int32(), "prefix": pa.binary(), "prefix_no": pa.int64(), "suffix": pa.binary(), "suffix_no": pa.int64(), "fresh": pa.bool_()}
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each place i of a word (its length included): the prefix before and the suffix from i on, with their lengths,
-    and whether the code point at i differs from the one before."""
-    kinds = {"no": pa.int64(), "i": pa.int32(), "j": pa.int32(), "prefix": pa.binary(), "suffix": pa.binary(), "fresh": pa.bool_()}
+    """For each place i of a word (its length included): the prefix before and the suffix from i on, as numbers or hashes,
+    with their lengths, and whether the code point at i differs from the one before."""
+    made = lambda columns: pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in _PLACES.items()], names=list(_PLACES))
     for batch in batches:
-        columns = {c: [] for c in kinds}
+        columns = {c: [] for c in _PLACES}
         for no, word in zip(batch.column("no").to_pylist(), batch.column("word").to_pylist(), strict=True):
             size = len(word)
             columns["no"] += [no] * (size + 1)
             columns["i"] += range(size + 1)
             columns["j"] += range(size, -1, -1)
-            columns["prefix"] += _prefixes(word)
-            columns["suffix"] += _prefixes(word[::-1])[::-1]
+            for node, text, step in (("prefix", word, 1), ("suffix", word[::-1], -1)):
+                numbers, hashes = _prefixes(text)
+                columns[f"{node}_no"] += numbers[::step]
+                columns[node] += hashes[::step]
             columns["fresh"] += [i == 0 or i == size or word[i] != word[i - 1] for i in range(size + 1)]
             if len(columns["no"]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in kinds.items()], names=list(kinds))
-                columns = {c: [] for c in kinds}
-        yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in kinds.items()], names=list(kinds))
+                yield made(columns)
+                columns = {c: [] for c in _PLACES}
+        yield made(columns)
 
 
 def _numbered(places: DataFrame, node: str, number: str) -> DataFrame:
-    """Replace a prefix or suffix by the first word that has it; rows of nodes with a single word go (a pair with them
-    has no other word)."""
-    own = Window.partitionBy(node)
-    out = places.withColumns({number: F.min("no").over(own), "_last": F.max("no").over(own)})
-    return out.withColumn(number, F.when(F.col("_last") != F.col(number), F.col(number))).drop(node, "_last")
+    """Replace a prefix or suffix by its number: the one given near the root, else the first word that has it. A node with
+    a single word gets none (a pair with it has no other word)."""
+    own = Window.partitionBy(F.coalesce(node, F.encode(F.col("no").cast("string"), "UTF-8")))  # rows with a given number are spread by word
+    out = places.withColumns({"_first": F.min("no").over(own), "_last": F.max("no").over(own)})
+    shared = F.when(F.col("_first") != F.col("_last"), F.col("_first"))
+    return out.withColumn(number, F.when(F.col(node).isNull(), F.col(f"{node}_no")).otherwise(shared)).drop(node, f"{node}_no", "_first", "_last")
 
 
 def _pairs(vocab: DataFrame) -> DataFrame:
     """no, n, skips, fresh and the pair of nodes (p, i, s, j) of each skip and cut that other words may share."""
-    places = vocab.select("no", "word").mapInArrow(_places, "no long, i int, j int, prefix binary, suffix binary, fresh boolean")
+    places = vocab.select("no", "word").mapInArrow(_places, "no long, i int, j int, prefix binary, prefix_no long, suffix binary, suffix_no long, fresh boolean")
     behind = _numbered(places, "suffix", "s")
     following = F.lead("s").over(Window.partitionBy("no").orderBy("i"))
     both = behind.withColumn("next", following)
     kind = lambda skips, s, j: F.struct(F.lit(skips).alias("skips"), s.alias("s"), j.cast("int").alias("j"))
     kinds = F.filter(F.array(kind(True, F.col("next"), F.col("j") - 1), kind(False, F.col("s"), F.col("j"))), lambda x: x["s"].isNotNull())
-    cuts = both.select("no", "i", "prefix", "fresh", F.explode(kinds).alias("x")).select("no", "i", "prefix", "fresh", "x.*")
+    held = ["no", "i", "prefix", "prefix_no", "fresh"]
+    cuts = both.select(*held, F.explode(kinds).alias("x")).select(*held, "x.*")
     return _numbered(cuts, "prefix", "p").filter("p is not null")
 
 

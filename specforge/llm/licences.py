@@ -79,6 +79,8 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     A null text is empty: no words, no places, no labels, score 0. score is the largest share of a template's
     looked-up IDF that stands in its place, over templates whose key phrase stands there. Rows are told apart by their
     place in the input, so repeated and null ids are kept. Other columns are not read.
+
+    located holds a file's licence words at their places and nulls between them: a posting is looked up by its place.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
@@ -90,15 +92,14 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     )
     places = F.array_sort(F.concat(*(F.when(F.col("line").contains(f" {p} "), _starts(words, p)).otherwise(F.array().cast("array<int>")) for p in BASE)))
     labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.col("line").contains(f" {p} "), F.lit(x)) for p, x in BASE.items())))))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(words, i).isin(vocabulary))
-    located = F.transform(at, lambda i: F.struct(F.get(words, i).alias("word"), i.alias("pos")))
+    located = F.transform(words, lambda w: F.when(w.isin(vocabulary), w))
     rows = settle(
         split.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.size("words").cast("long").alias("n_words"), "words", line.alias("line")).select(
-            "doc_id", "rid", "n_words", places.alias("places"), labels.alias("base_labels"), F.when(F.size("words") > 0, located).alias("located")
+            "doc_id", "rid", "n_words", places.alias("places"), labels.alias("base_labels"), located.alias("located")
         )
     )
     n = rows.count()
-    df = rows.select(F.explode(F.array_distinct("located.word")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = rows.select(F.explode(F.array_distinct("located")).alias("word")).filter("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     # one row for each word of the templates, also for those that no document holds
     idf = _index(spark).select("word").distinct().join(F.broadcast(df), "word", "left")
     idf = settle(idf.select("word", F.log(1 + F.lit(n + 1) / F.coalesce("df", F.lit(1))).alias("idf")))
@@ -108,12 +109,13 @@ def scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_share: float = LEAST
     rarer = Window.partitionBy("template").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
     weighed = settle(index.withColumns({"whole": F.sum("idf").over(Window.partitionBy("template")), "before": F.coalesce(F.sum("idf").over(rarer), F.lit(0.0))}))
     rare = weighed.filter(F.col("before") <= F.col("whole") * (1 - least_share) + 1e-9).select("template", "word", "at")
-    held = rows.select("rid", F.explode("located").alias("o")).select("rid", "o.*")
+    held = rows.select("rid", F.posexplode("located").alias("pos", "word")).filter("word is not null")
     candidates = held.join(F.broadcast(rare), "word").select("rid", "template", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     postings = weighed.groupBy("template", "label", "whole").agg(F.collect_list(F.struct("word", "at", "idf")).alias("postings"))
     keys = _index(spark).filter("key").groupBy("template").agg(F.collect_list(F.struct("word", "at")).alias("phrase"))
     templates = postings.join(F.broadcast(keys), "template")
-    stands = lambda p: F.array_contains("located", F.struct(p["word"].alias("word"), (p["at"] + F.col("shift")).alias("pos")))
+    # by place, so that a file's work grows with its places and not with their square
+    stands = lambda p: F.get("located", p["at"] + F.col("shift")) == p["word"]
     matches = (
         settle(candidates)
         .join(F.broadcast(templates), "template")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -264,6 +265,19 @@ def test_licences_of_a_file_with_all_notices(spark):
     assert by_id[1]["labels"] == [] and by_id[40]["labels"] == ["mit"] and by_id[40]["score"] == pytest.approx(1.0)
 
 
+def test_licences_of_a_very_long_file_take_linear_time(spark):
+    """50,000 licence words in one file: the work for a posting may not grow with the file."""
+    vocabulary = sorted({w for _, t, _ in licences.TEMPLATES for w in t.split()})
+    r = random.Random(3)
+    text = " ".join(r.choice(vocabulary) for _ in range(50_000)) + " " + licences.TEMPLATES[12][1]
+    table = spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")
+    began = time.monotonic()
+    by_id = {r["doc_id"]: r for r in licences.scan(table).collect()}
+    assert time.monotonic() - began < 60
+    assert "bsd" in by_id[1]["labels"] and by_id[1]["n_words"] == 50_000 + len(licences.TEMPLATES[12][1].split())
+    assert by_id[2]["labels"] == by_id[3]["labels"] == []
+
+
 def test_licence_labels_equal_brute_force(spark):
     """Several licences in a file, notices in most files, words left out, changed and put in."""
     r = random.Random(5)

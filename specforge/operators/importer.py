@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.similarity_join import first_rows
+from ..plans.storage import numbered
 
 REPLACE, MERGE = "replace", "merge"
 
@@ -104,7 +105,8 @@ def report(changed: DataFrame, rows: DataFrame) -> DataFrame:
 def assign_sku(items: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Give items of suppliers with a prefix a number <prefix>-NNNNNN where they have none: that of another item of the
     source with the same key (an active one first, then the smallest), else the next ones behind the highest of that
-    prefix in order of created_at, article, id."""
+    prefix in order of created_at, article, id. Only items that get a new number are sorted, all sources together, so a
+    large source is numbered by many tasks."""
     prefixes = suppliers.filter("prefix is not null").select(F.col("supplier_id").alias("source_id"), "prefix")
     keyed = stored_key(items).join(prefixes, "source_id", "left")
     reserved = first_rows(keyed.filter("supplier_sku is not null and key is not null"), ["source_id", "key"], [F.desc("is_active"), F.col("supplier_sku")], 1)
@@ -116,7 +118,12 @@ def assign_sku(items: DataFrame, suppliers: DataFrame) -> DataFrame:
     by_age = [F.col("created_at"), F.col("article_raw"), F.col("item_id")]
     need = F.col("supplier_sku").isNull() & F.col("prefix").isNotNull() & F.col("is_active")
     state = F.when(need & F.col("reserved").isNotNull(), 1).when(need, 2).otherwise(0)
-    joined = joined.withColumn("state", state).withColumn("nth", F.row_number().over(Window.partitionBy("source_id", "state").orderBy(*by_age)))
+    joined = joined.withColumn("state", state)
+    open_ = keyed.filter(need).join(reserved, ["source_id", "key"], "left_anti")
+    new = numbered(open_.select("source_id", "created_at", "article_raw", "item_id"), [F.col("source_id"), *by_age])
+    first = new.groupBy("source_id").agg(F.min("place").alias("first"))
+    nth = new.join(first, "source_id").select("item_id", (F.col("place") - F.col("first") + 1).alias("nth"))
+    joined = joined.join(nth, "item_id", "left")
     made = F.format_string("%s-%06d", F.col("prefix"), F.col("highest") + F.col("nth"))
     sku = F.when(F.col("state") == 1, F.col("reserved")).when(F.col("state") == 2, made).otherwise(F.col("supplier_sku"))
     return joined.withColumn("supplier_sku", sku).select(*items.columns)
@@ -128,6 +135,14 @@ def _one_card(cards: DataFrame, keys: list[str]) -> DataFrame:
     return first_rows(known, keys, [F.col("created_at"), F.col("item_id")], 1).select(*keys, F.col("item_id").alias("card"))
 
 
+def _with_card(items: DataFrame, cards: DataFrame, keys: list[str]) -> DataFrame:
+    """Items with the card of their keys. Most items lack a code: a hash of the keys, or of the id where one is missing,
+    is a second join key, so that items without keys don't meet in one task."""
+    whole = F.concat(*keys)  # null if a key is
+    spread = cards.withColumn("spread", F.xxhash64(*keys))
+    return items.withColumn("spread", F.when(whole.isNull(), F.xxhash64("item_id")).otherwise(F.xxhash64(*keys))).join(spread, [*keys, "spread"], "left").drop("spread")
+
+
 def link_to_catalog(items: DataFrame) -> DataFrame:
     """Link active price-list items to active catalog cards: by code, else by article and brand, else by article. Links
     set by hand stay, and automatic ones that lead nowhere any more are cleared."""
@@ -135,7 +150,7 @@ def link_to_catalog(items: DataFrame) -> DataFrame:
     by_code = _one_card(cards, ["code_1c"]).withColumnRenamed("card", "by_code")
     by_both = _one_card(cards, ["article_normalized", "manufacturer_normalized"]).withColumnRenamed("card", "by_both")
     by_article = _one_card(cards, ["article_normalized"]).withColumnRenamed("card", "by_article")
-    joined = items.join(by_code, "code_1c", "left").join(by_both, ["article_normalized", "manufacturer_normalized"], "left").join(by_article, "article_normalized", "left")
+    joined = _with_card(_with_card(_with_card(items, by_code, ["code_1c"]), by_both, ["article_normalized", "manufacturer_normalized"]), by_article, ["article_normalized"])
     card = F.coalesce("by_code", "by_both", "by_article")
     open_ = (F.col("source_id") != "catalog") & F.col("is_active") & ~F.col("catalog_link_source").eqNullSafe(F.lit("manual"))
     return joined.withColumns(

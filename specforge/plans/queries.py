@@ -19,6 +19,8 @@ from ..operators import transform as C2
 from ..operators import vectors as V
 from ..sources import files as L
 from ..sources import tables as D
+from ..streaming import jobs as J
+from ..streaming.store import ItemStore
 from .storage import settled, shared_path
 
 QUERIES: dict = {}
@@ -368,6 +370,43 @@ def d10(spark, d):
     return I.link_to_catalog(D.stored_items(spark, d)).select("item_id", "linked_catalog_item_id", "catalog_link_source")
 
 
+# price-list rows that hold a code: of a card, of none, or of a card other than the one their article leads to
+_CODED = "(SELECT * REPLACE (CASE WHEN source_id = 'catalog' THEN code_1c WHEN key_ % 7 = 2 THEN 'C' || (key_ + 3) WHEN key_ % 7 = 4 THEN 'C' || key_ WHEN key_ % 7 = 5 THEN 'X' || key_ END AS code_1c) FROM stored_)"
+
+
+@query("d10_link_by_code", f""", coded AS MATERIALIZED {_CODED}, cards AS (SELECT * FROM coded WHERE source_id = 'catalog' AND is_active),
+ k AS (SELECT code_1c, item_id AS card FROM cards WHERE code_1c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code_1c ORDER BY created_s, item_id) = 1),
+ b AS (SELECT article_normalized, manufacturer_normalized, item_id AS card FROM cards WHERE article_normalized IS NOT NULL AND manufacturer_normalized IS NOT NULL QUALIFY row_number() OVER (PARTITION BY article_normalized, manufacturer_normalized ORDER BY created_s, item_id) = 1),
+ a AS (SELECT article_normalized, item_id AS card FROM cards WHERE article_normalized IS NOT NULL QUALIFY row_number() OVER (PARTITION BY article_normalized ORDER BY created_s, item_id) = 1)
+ SELECT c.item_id, coalesce(k.card, b.card, a.card) AS linked_catalog_item_id, CASE WHEN coalesce(k.card, b.card, a.card) IS NOT NULL THEN 'auto' END AS catalog_link_source
+ FROM coded c LEFT JOIN k USING (code_1c) LEFT JOIN b ON b.article_normalized = c.article_normalized AND b.manufacturer_normalized = c.manufacturer_normalized LEFT JOIN a ON a.article_normalized = c.article_normalized
+ WHERE c.source_id <> 'catalog' AND c.is_active AND c.key_ % 10 <> 0""")
+def d10_by_code(spark, d):
+    """Links of price-list items without a link by hand, where some hold a code: the code goes before the article."""
+    key = F.regexp_extract("item_id", r"^[cp](\d+)", 1).cast("long")
+    listed, n = F.col("source_id") != "catalog", key % 7
+    code = F.when(~listed, F.col("code_1c")).when(n == 2, F.concat(F.lit("C"), key + 3)).when(n == 4, F.concat(F.lit("C"), key)).when(n == 5, F.concat(F.lit("X"), key))
+    linked = I.link_to_catalog(D.stored_items(spark, d).withColumn("code_1c", code))
+    return linked.filter(listed & F.col("is_active") & (key % 10 != 0)).select("item_id", "linked_catalog_item_id", "catalog_link_source")
+
+
+@query("p2_price_list_feed", _REPLACE_SQL + """ SELECT done.source_id, done.item_id, done.price::double AS price, CASE change WHEN 'kept' THEN s.is_active ELSE change <> 'deactivated' END AS is_active
+ FROM done LEFT JOIN stored_ s ON s.item_id = done.item_id""")
+def p2(spark, d):
+    """The new price lists as a feed into the versioned store, delivered twice: the second delivery changes nothing."""
+    stored, rows = D.stored_items(spark, d), D.new_price_lists(spark, d)
+    base = shared_path(spark)
+    rows.write.parquet(f"{base}/feed")
+    store = ItemStore(spark, f"{base}/store", stored.schema)
+    store.update("first", 0, [r[0] for r in stored.select("source_id").distinct().collect()], lambda _: stored)  # names of suppliers
+    for progress in ("p1", "p2"):
+        # files_a_batch: all lists in one batch
+        J.store_price_lists(spark, f"{base}/feed", rows.schema, f"{base}/{progress}", store, D.suppliers(spark, d), files_a_batch=1_000_000).awaitTermination()
+    known = stored.select("item_id").withColumn("known", F.lit(True))
+    after = store.items().join(known, "item_id", "left")
+    return after.select("source_id", F.when(F.col("known"), F.col("item_id")).alias("item_id"), F.col("price").cast("double").alias("price"), "is_active")
+
+
 def _overrides(items):
     key = F.regexp_extract("item_id", r"^p(\d+)", 1).try_cast("long")
     card = F.when(key % 2 == 0, F.concat(F.lit("c"), (key + 1).cast("string"))).when(key % 3 == 0, "nothing")

@@ -394,7 +394,7 @@ def d10_by_code(spark, d):
  FROM done LEFT JOIN stored_ s ON s.item_id = done.item_id""")
 def p2(spark, d):
     """The new price lists as a feed into the versioned store, delivered twice: the second delivery changes nothing."""
-    stored, rows = D.stored_items(spark, d), D.new_price_lists(spark, d)
+    stored, rows = settled(D.stored_items(spark, d)), D.new_price_lists(spark, d)
     base = shared_path(spark)
     rows.write.parquet(f"{base}/feed")
     store = ItemStore(spark, f"{base}/store", stored.schema)
@@ -1165,3 +1165,48 @@ def p3(spark, d):
     jobs.run_decisions(spark, folder, log.schema, f"{folder}-progress", store).awaitTermination()
     last = spark.read.parquet(out).groupBy("spec_item_id").agg(F.max_by("decision", F.struct("decided_at", "batch")).alias("decision"))
     return last
+
+
+# --- figures of the decision stream --------------------------------------------------------------------------------------
+
+# a window or session is given once the stream's time, its last event less an hour (in milliseconds), has passed its end
+_CLOSED = ", now_ AS (SELECT date_trunc('milliseconds', max(decided_at)) - INTERVAL 1 HOUR AS t FROM decisions_)"
+
+
+def _streamed(spark, d, results):
+    """The decision log as a stream through `results`, read back from where it is appended. The log's times have no zone:
+    they are read as UTC, whatever the session's zone, and given back without one."""
+    utc = F.to_timestamp_ltz(F.concat(F.col("decided_at").cast("string"), F.lit("Z")))
+    log = settled(D.decisions(spark, d).withColumn("decided_at", utc))
+    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
+    out, shown = shared_path(spark), results(stream)
+    J.append_results(shown, out, f"{out}-progress").awaitTermination()
+    times = [c for c, kind in shown.dtypes if kind == "timestamp"]
+    return spark.read.schema(shown.schema).parquet(out).withColumns({c: F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), timestamp_ntz'1970-01-01')") for c in times})
+
+
+@query("r4_decision_windows", _CLOSED + """ SELECT date_trunc('day', decided_at) AS window_start, count(*) AS decisions, count(*) FILTER (decision = 'confirmed') AS confirmed, count(*) FILTER (decision = 'not_found') AS not_found
+ FROM decisions_, now_ WHERE date_trunc('day', decided_at) + INTERVAL 1 DAY <= t GROUP BY 1""")
+def r4_windows(spark, d):
+    return _streamed(spark, d, J.decision_windows).select("window_start", "decisions", "confirmed", "not_found")
+
+
+@query("r4_unfound_by_day", """, now_ AS (SELECT date_trunc('milliseconds', max(decided_at)) - INTERVAL 1 HOUR AS t FROM decisions_ WHERE decision = 'not_found')
+ SELECT date_trunc('day', decided_at) AS window_start, name_raw, count(*) AS decisions FROM decisions_ JOIN spec_items_ USING (spec_item_id), now_
+ WHERE decision = 'not_found' AND date_trunc('day', decided_at) + INTERVAL 1 DAY <= t GROUP BY 1, 2""")
+def r4_unfound(spark, d):
+    lines = D.spec_items(spark, d)
+    return _streamed(spark, d, lambda log: J.unfound_in_windows(log, lines))
+
+
+@query("r4_work_sessions", _CLOSED + """, g AS (SELECT *, coalesce(decided_at - lag(decided_at) OVER (PARTITION BY decided_by ORDER BY decided_at) > INTERVAL 24 HOUR, true) AS first_ FROM decisions_),
+ s AS (SELECT *, count(*) FILTER (first_) OVER (PARTITION BY decided_by ORDER BY decided_at RANGE UNBOUNDED PRECEDING) AS nth FROM g),
+ x AS (SELECT decided_by, min(decided_at) AS started, max(decided_at) AS ended, count(*) AS decisions FROM s GROUP BY decided_by, nth)
+ SELECT x.*, round((epoch_us(ended) - epoch_us(started)) / 1e6::double / nullif(decisions - 1, 0), 3) AS mean_seconds FROM x, now_ WHERE ended + INTERVAL 24 HOUR <= t""")
+def r4_sessions(spark, d):
+    return _streamed(spark, d, lambda log: J.work_sessions(log, gap="24 hours"))
+
+
+# the link columns are read from the items themselves
+for _name in ("d10_link_to_catalog", "d11_set_links", "d12_reset_links", "e6_linked_cards", "g13_card_labels"):
+    SQL[_name] = SQL[_name].replace("stored_ AS MATERIALIZED", "stored_ AS NOT MATERIALIZED")

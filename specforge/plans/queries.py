@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import attributes as A
 from ..operators import cells as C
 from ..operators import gold as G
 from ..operators import hybrid as H
@@ -1167,6 +1168,43 @@ def p3(spark, d):
     return last
 
 
+# --- attributes in names ---------------------------------------------------------------------------------------------
+
+_SIZED = ", sized AS (SELECT 'c' || p_partkey AS item_id, p_name, p_size AS dia, p_partkey % 400 AS len, 100 + p_partkey % 30 AS std FROM part)"
+
+
+def _sized(spark, d):
+    """Parts with their size, a length and a standard written into the name, in several ways."""
+    n, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    length, std = (n % 400).cast("string"), (100 + n % 30).cast("string")
+    text = (
+        F.when(n % 3 == 0, F.concat(F.lit(" Д"), size, F.lit("х"), length, F.lit(" мм ГОСТ "), std))
+        .when(n % 3 == 1, F.concat(F.lit(" Ø "), size, F.lit(" L="), length, F.lit(" din "), std))
+        .otherwise(F.concat(F.lit(" диаметр "), size, F.lit(",0мм длина "), length, F.lit("см, ГОСТ Р "), std))
+    )
+    return D.read(spark, d, "part").select(F.concat(F.lit("c"), "p_partkey").alias("item_id"), F.concat("p_name", text).alias("name"))
+
+
+@query("r6_attributes", _SIZED + """ SELECT item_id, 'diameter' AS kind, dia::double AS value, NULL::varchar AS text FROM sized
+ UNION ALL SELECT item_id, 'length', (len * CASE WHEN substr(item_id, 2)::bigint % 3 = 2 THEN 10 ELSE 1 END)::double, NULL FROM sized
+ UNION ALL SELECT item_id, 'standard', NULL, CASE WHEN substr(item_id, 2)::bigint % 3 = 1 THEN 'din ' ELSE 'гост ' END || std FROM sized""")
+def r6(spark, d):
+    return A.attributes(_sized(spark, d)).drop("name")
+
+
+@query("r6_near_attributes", _SIZED + """, n AS (SELECT item_id, p_name || CASE substr(item_id, 2)::bigint % 3 WHEN 0 THEN ' Д' || dia || 'х' || len || ' мм ГОСТ ' || std WHEN 1 THEN ' Ø ' || dia || ' L=' || len || ' din ' || std
+   ELSE ' диаметр ' || dia || ',0мм длина ' || len || 'см, ГОСТ Р ' || std END AS name, dia::double AS diameter, (len * CASE WHEN substr(item_id, 2)::bigint % 3 = 2 THEN 10 ELSE 1 END)::double AS length FROM sized),
+ held AS (SELECT item_id, name, 'diameter' AS kind, diameter AS v FROM n UNION ALL SELECT item_id, name, 'length', length FROM n),
+ asked AS (SELECT DISTINCT 'length' AS kind, round(l_extendedprice / 10, 1) AS value FROM lineitem UNION SELECT DISTINCT 'diameter', l_quantity + 0.5::double FROM lineitem)
+ SELECT kind, value, item_id, round(abs(value - v), 9) AS distance FROM asked JOIN held USING (kind) WHERE round(abs(value - v), 9) <= 2.5::double
+ QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY round(abs(value - v), 9), name, item_id) <= 20""")
+def r6_near(spark, d):
+    """Parts whose diameter or length is within 2.5 mm of those asked, the 20 closest of each."""
+    lines = D.read(spark, d, "lineitem")
+    asked = lines.select(F.lit("length").alias("kind"), F.round(F.col("l_extendedprice") / 10, 1).alias("value")).union(lines.select(F.lit("diameter"), F.col("l_quantity") + 0.5))
+    return A.near_attributes(asked.distinct(), settled(_sized(spark, d)), 2.5, 20)
+
+
 # --- figures of the decision stream --------------------------------------------------------------------------------------
 
 # a window or session is given once the stream's time, its last event less an hour (in milliseconds), has passed its end

@@ -16,7 +16,9 @@ from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import review as R
 from ..operators import search as E
+from ..operators import synonyms as Y
 from ..operators import transform as C2
+from ..operators import units as U
 from ..operators import vectors as V
 from ..sources import files as L
 from ..sources import tables as D
@@ -1205,6 +1207,80 @@ def r6_near(spark, d):
     return A.near_attributes(asked.distinct(), settled(_sized(spark, d)), 2.5, 20)
 
 
+# --- units and synonyms ------------------------------------------------------------------------------------------------
+
+_UNITS = """WITH o AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, p_size AS size FROM lineitem JOIN part ON l_partkey = p_partkey),
+ bad AS (SELECT DISTINCT p FROM o WHERE (s + p) % 50 = 0),
+ u AS (SELECT 'a' || p AS unit, p, 1 AS factor FROM o UNION SELECT 'b' || p, p, size FROM o UNION SELECT 'c' || s || '-' || p, p, size * (s % 7 + 2) FROM o),
+ closed AS (SELECT unit, 'a' || p AS canonical, CASE WHEN bad.p IS NULL THEN factor::double END AS factor, bad.p IS NULL AS consistent FROM u LEFT JOIN bad USING (p))"""
+
+
+def _closed_units(spark, d):
+    """Pieces, boxes and suppliers' pallets of each part that is ordered; some pallets are also given in pieces, and some
+    of those with a wrong number."""
+    part = D.read(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("size"))
+    o = settled(D.read(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct().join(part, "p"))
+    piece, box = F.concat(F.lit("A"), "p"), F.concat(F.lit(" b"), "p")
+    pallet, boxes = F.concat(F.lit("c"), "s", F.lit("-"), "p"), F.col("s") % 7 + 2
+    direct = o.filter("(s + p) % 5 = 0").select(pallet.alias("unit"), piece.alias("other"), (boxes * F.col("size") + F.when((F.col("s") + F.col("p")) % 50 == 0, 1).otherwise(0)).alias("factor"))
+    given = o.select(box.alias("unit"), piece.alias("other"), F.col("size").alias("factor")).union(o.select(pallet, box, boxes)).union(direct)
+    return U.unit_closure(given)
+
+
+@query("r5_unit_closure", _UNITS + " SELECT unit, canonical, round(factor, 6) AS factor, consistent FROM closed", tables=False)
+def r5(spark, d):
+    return _closed_units(spark, d).withColumn("factor", F.round("factor", 6))
+
+
+@query("r5_canonical_quantities", _UNITS + """, l AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'a' || l_partkey WHEN 1 THEN 'b' || l_partkey ELSE 'c' || l_suppkey || '-' || l_partkey END AS unit, l_quantity, l_extendedprice FROM lineitem)
+ SELECT CASE WHEN consistent THEN canonical ELSE unit END AS canonical_unit, count(*) AS lines, sum(l_quantity * coalesce(factor, 1)) AS quantity, min(l_extendedprice / coalesce(factor, 1)) AS least_price
+ FROM l JOIN closed USING (unit) GROUP BY 1""", tables=False)
+def r5_quantities(spark, d):
+    """Order lines in pieces, boxes and pallets, added up by canonical unit."""
+    line, third = D.read(spark, d, "lineitem"), F.col("l_linenumber") % 3
+    unit = F.when(third == 0, F.concat(F.lit("a"), "l_partkey")).when(third == 1, F.concat(F.lit("B"), "l_partkey")).otherwise(F.concat(F.lit("c"), "l_suppkey", F.lit("-"), "l_partkey"))
+    lines = line.select(unit.alias("unit"), "l_quantity", "l_extendedprice")
+    told = U.in_canonical_units(lines, settled(_closed_units(spark, d)), quantity=F.col("l_quantity"), price=F.col("l_extendedprice"))
+    return told.groupBy("canonical_unit").agg(F.count(F.lit(1)).alias("lines"), F.sum("canonical_quantity").alias("quantity"), F.min("canonical_price").alias("least_price"))
+
+
+_SHARES = "SELECT q, c, x / sum(x) OVER (PARTITION BY c) AS t FROM "
+_ALIGNED = "".join(
+    f""", s{i} AS (SELECT id, q, c, n, t, sum(t) OVER (PARTITION BY id) AS whole FROM links JOIN t{i - 1} USING (q, c)),
+ t{i} AS MATERIALIZED ({_SHARES} (SELECT q, c, sum(n * t / whole) AS x FROM s{i} GROUP BY 1, 2))"""
+    for i in range(1, Y.ROUNDS + 1)
+)
+
+
+def _cell_sql(o: str, row: str, col: str) -> str:
+    return f"CASE WHEN {o} > 0 THEN {o} * ln({o} / (({row})::double * ({col})) * lines) ELSE 0 END"
+
+
+@query("r8_synonym_pairs", f"""WITH x AS (SELECT string_split(reverse(b.p_name), ' ') AS a, string_split(lower(a.p_name || ' ' || a.p_type), ' ') AS b
+   FROM lineitem JOIN part b ON b.p_partkey = l_partkey JOIN part a ON a.p_partkey = CASE WHEN l_orderkey % 10 = 0 THEN l_suppkey ELSE l_partkey END),
+ w AS (SELECT list_sort(list_distinct(list_filter(a, lambda v: NOT list_contains(b, v)))) AS q, list_sort(list_distinct(list_filter(b, lambda v: NOT list_contains(a, v)))) AS c FROM x),
+ l AS MATERIALIZED (SELECT q, c, count(*) AS n FROM w WHERE len(q) > 0 AND len(c) > 0 GROUP BY 1, 2),
+ e AS (SELECT u.q AS q, c AS words, sum(n)::bigint AS n FROM l, unnest(l.q) AS u(q) GROUP BY 1, 2),
+ r AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM e),
+ m AS (SELECT id, n, q, u.c AS c FROM r, unnest(r.words) AS u(c)),
+ together AS MATERIALIZED (SELECT q, c, sum(n)::bigint AS together FROM m GROUP BY 1, 2 HAVING sum(n) >= {Y.LEAST}),
+ links AS MATERIALIZED (SELECT m.* FROM m JOIN together USING (q, c)),
+ t0 AS ({_SHARES} (SELECT q, c, 1::double AS x FROM together)){_ALIGNED},
+ nq AS (SELECT q, sum(n)::bigint AS n_q FROM r GROUP BY 1), nc AS (SELECT u.c AS c, sum(n)::bigint AS n_c FROM l, unnest(l.c) AS u(c) GROUP BY 1),
+ f AS (SELECT q, c, together, t, n_q, n_c, (SELECT sum(n)::bigint FROM l) AS lines FROM together JOIN t{Y.ROUNDS} USING (q, c) JOIN nq USING (q) JOIN nc USING (c)),
+ g AS (SELECT *, round(t, 6) AS probability, round(2 * ({_cell_sql('together', 'n_q', 'n_c')} + {_cell_sql('(n_q - together)', 'n_q', 'lines - n_c')}
+   + {_cell_sql('(n_c - together)', 'lines - n_q', 'n_c')} + {_cell_sql('(lines - n_q - n_c + together)', 'lines - n_q', 'lines - n_c')}), 4) AS likelihood_ratio FROM f)
+ SELECT q AS query_word, c AS chosen_word, together, probability, likelihood_ratio FROM g
+ WHERE together::double * lines > n_q::double * n_c AND likelihood_ratio >= {Y.SIGNIFICANT} AND probability >= {Y.PROBABLE}""", tables=False)
+def r8(spark, d):
+    """Lines that name their part in another language (words written backwards), one in ten chosen wrongly."""
+    part = D.read(spark, d, "part")
+    asked = part.select(F.col("p_partkey").alias("l_partkey"), F.reverse("p_name").alias("query"))
+    cards = part.select(F.col("p_partkey").alias("card"), F.concat_ws(" ", "p_name", "p_type").alias("chosen"))
+    line = D.read(spark, d, "lineitem").withColumn("card", F.when(F.col("l_orderkey") % 10 == 0, F.col("l_suppkey")).otherwise(F.col("l_partkey")))
+    return Y.synonym_pairs(line.join(asked, "l_partkey").join(cards, "card"))
+
+
 # --- figures of the decision stream --------------------------------------------------------------------------------------
 
 # a window or session is given once the stream's time, its last event less an hour (in milliseconds), has passed its end

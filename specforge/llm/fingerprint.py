@@ -23,11 +23,14 @@ REPS, BINS = 8, 32
 PART = 2
 #: Rows of a partition, on average at most.
 PART_ROWS = 2048
-#: Rows of a bucket, less than twice as many; neighbours in the order of ids are looked up within a bucket.
+#: Rows of a bucket; neighbours in the order of ids are looked up within a bucket.
 BUCKET_ROWS = 512
-#: Ids with more rows than a bucket are dealt by their texts into at most 2^SUB buckets.
-SUB = 8
+#: Bits of a place within a range of ids.
+PLACE = 33
+#: Characters of a text that order rows of one id.
+KEY = 64
 _SIG, _Q = 12, 44
+_PLACES = (1 << PLACE) - 1
 
 
 def _samples(terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,83 +98,60 @@ def fingerprints(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     )
 
 
-def _borders(rows: DataFrame) -> tuple[list[int], dict[int, int]]:
-    """The smallest id of each bucket, in order, and the ids with more rows than a bucket with how many they have.
+def _placed(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows (did, text) with bucket and rn, written to the shared folder: their range of ids (PLACE bits up) with the
+    number of a bucket of BUCKET_ROWS rows that follow each other, and the place in the bucket.
 
-    Buckets are filled by the rows that ids have, so that gaps, outliers and missing ids do not matter. The driver
-    gets one id for each bucket.
+    The order is by descending id, then by the first KEY characters of the texts, descending, then by their hash; rows
+    that are wholly equal are dealt at random, so that neither an id nor a text with many rows fills one range.
     """
-    ids = rows.groupBy("did").agg(F.count(F.lit(1)).alias("m"))
-    ids = settle(ids.repartitionByRange("did").withColumn("part", F.spark_partition_id()))
-    order = Window.partitionBy("part").orderBy("did")
-    before = (F.sum("m").over(order) - F.col("m")).alias("before")
-    placed = ids.select("did", "m", before, F.lag("m").over(order).alias("last"))
-    filled = F.floor(F.col("before") / BUCKET_ROWS) > F.floor((F.col("before") - F.col("last")) / BUCKET_ROWS)
-    starts = placed.filter(F.col("last").isNull() | filled | (F.greatest("m", "last") > BUCKET_ROWS)).select("did", "m").collect()
-    return sorted(r["did"] for r in starts), {r["did"]: r["m"] for r in starts if r["m"] > BUCKET_ROWS}
-
-
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """bucket, did and text of the rows (did, text); buckets follow the order of ids and, within an id, of texts."""
-    borders, large = _borders(rows)
-    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
-    # how many borders are at or below the id, by binary search; the id goes along, as lambdas must not refer to columns
-    # here (Spark infers filters from a column that is joined, and fails on such a lambda)
-    steps = listed(2**i for i in reversed(range(max(1, len(borders).bit_length()))))
-    above = lambda s, by: F.get(listed(borders), (s["at"] + by - 1).cast("int")) <= s["did"]
-    step = lambda s, by: F.struct(s["did"].alias("did"), F.when(above(s, by), s["at"] + by).otherwise(s["at"]).alias("at"))
-    start = F.struct(F.col("did"), F.lit(0).cast("long").alias("at"))
-    place = F.aggregate(steps, start, step, lambda s: s["at"]) if borders else F.lit(0).cast("long")
-    rows = rows.select(F.shiftleft(place, SUB).alias("bucket"), "did", "text")
-    if not large:
-        return rows
-    ids = F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in large], "did long"))
-    parts = min(2**SUB, math.ceil(sum(large.values()) / BUCKET_ROWS))
-    dealt = rows.join(ids, "did", "left_semi").withColumn("salt", F.rand(1)).repartitionByRange(parts, "bucket", "text", "salt")
-    dealt = settle(dealt.select((F.col("bucket") + F.spark_partition_id()).alias("bucket"), "did", "text"))
-    return rows.join(ids, "did", "left_anti").select("bucket", "did", "text").unionByName(dealt)
-
-
-def _followers(buckets: DataFrame) -> DataFrame:
-    """bucket and the next one downwards (after the lowest, the highest), by windows over groups of 1,024 places and
-    then over one row for each group."""
-    grouped = buckets.withColumn("grp", F.shiftright("bucket", 10 + SUB))
-    inside = grouped.withColumn("inside", F.lead("bucket").over(Window.partitionBy("grp").orderBy(F.desc("bucket"))))
-    down = Window.orderBy(F.desc("grp"))
-    tops = grouped.groupBy("grp").agg(F.max("bucket").alias("top"))
-    tops = tops.select(
-        "grp", F.coalesce(F.lead("top").over(down), F.max("top").over(Window.partitionBy())).alias("outside")
-    )
-    return inside.join(tops, "grp").select("bucket", F.coalesce("inside", "outside").alias("follower"))
+    keyed = rows.select("did", "text", F.substring("text", 1, KEY).alias("start"), F.xxhash64("text").alias("hash"), F.rand(1).alias("salt"))
+    order = [F.desc("did"), F.desc("start"), F.col("hash"), F.col("salt")]
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id of a row is the number of its task, 33 bits up, and its place in what the task writes
+    dealt = settle(dealt.select("did", "text", F.monotonically_increasing_id().alias("at")))
+    place = F.col("at").bitwiseAND(F.lit(_PLACES))
+    bucket = (F.col("at") - place + F.floor(place / BUCKET_ROWS)).alias("bucket")
+    return dealt.select(bucket, (place % BUCKET_ROWS).cast("int").alias("rn"), "did", "text")
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """text of the first row of each bucket, and the bucket before it in the order (before the first one, the last).
+
+    Within a range the bucket before has the number before; only the first row of each range looks its one up, by a
+    window over one row for each range (a task's output).
+    """
+    starts = rows.filter("rn = 0").select("bucket", "text")
+    part = F.shiftright("bucket", PLACE)
+    last = starts.groupBy(part.alias("part")).agg(F.max("bucket").alias("last"))
+    before = F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.partitionBy()))
+    opening = F.col("bucket").bitwiseAND(F.lit(_PLACES)) == 0
+    # other rows carry a part of their own that no range has, so that they meet nothing and are dealt over all tasks
+    starts = starts.withColumn("part", F.when(opening, part).otherwise(-1 - F.col("bucket")))
+    joined = starts.join(last.select("part", before.alias("ahead")), "part", "left")
+    return joined.select(F.coalesce("ahead", F.col("bucket") - 1).alias("bucket"), "text")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprint every text and its edited text, and compare it with both the edited and the next document's text.
 
-    The order is by descending doc_id; rows that share an id follow each other by their texts, and a null id comes
-    last. A null text is empty. Documents are bucketed by ranges that ids (and the texts of one id) fill evenly, so that a neighbour is found within a
-    bucket or is the first row of the next one; only those first rows are joined. Every row gives one row; an empty
-    table gives none; other columns are not read.
+    The order is by descending doc_id; rows that share an id follow each other by the start of their texts, then by a
+    hash (`_placed`), and a null id comes last. A null text is empty. Documents are sorted over ranges and bucketed by
+    their place, so that a neighbour is found within a bucket or is the first row of the next one; only those first rows
+    are joined, and nothing that grows with the documents passes the driver. Every row gives one row; an empty table
+    gives none; other columns are not read.
     """
     rows = docs.select(id_key().alias("did"), text_of().alias("text"))
-    n = rows.count()
-    rows = _bucketed(rows)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / PART_ROWS))
-    tops = rows.groupBy("bucket").agg(F.max("did").alias("did"))
-    first = rows.join(tops, ["bucket", "did"], "left_semi").groupBy("bucket").agg(F.max("text").alias("text"))
-    first = settle(first)
-    first = first.join(fingerprints(first, "bucket").drop("fingerprint"), "bucket")
-    behind = settle(
-        first.withColumnRenamed("bucket", "follower")
-        .join(_followers(tops.select("bucket")), "follower")
-        .select("bucket", F.col("text").alias("first_text"), F.col("registers").alias("first_registers"))
-    )
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / PART_ROWS))
+    rows = _placed(rows, parts)
+    first = settle(_firsts(rows))
+    found = fingerprints(first, "bucket").select("bucket", F.col("registers").alias("first_registers"))
+    behind = settle(first.withColumnRenamed("text", "first_text").join(found, "bucket"))
 
-    order = Window.partitionBy("bucket").orderBy(F.desc("did"), F.desc("text"))
+    order = Window.partitionBy("bucket").orderBy("rn")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     numbered = (
         rows.repartition(parts, "bucket")
-        .withColumn("rn", F.row_number().over(order))
         .withColumn("next", F.lead("text").over(order))
         .join(behind, "bucket", "left")
         .withColumn("n_chars", F.length("text"))

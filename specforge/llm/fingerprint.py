@@ -148,7 +148,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     found = fingerprints(first, "bucket").select("bucket", F.col("registers").alias("first_registers"))
     behind = settle(first.withColumnRenamed("text", "first_text").join(found, "bucket"))
 
-    order = Window.partitionBy("bucket").orderBy("rn")
+    # did changes nothing in this order, but makes both sides below read the same columns, so that texts are dealt once
+    order = Window.partitionBy("bucket").orderBy(F.desc("did"), "rn")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     numbered = (
         rows.repartition(parts, "bucket")

@@ -30,6 +30,42 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, texts):
     assert digests == {(len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for _, ids, _ in want}
 
 
+def words_of(r, n):
+    return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 14))) for _ in range(n)]
+
+
+def test_bpe_merges_new_short_matches_together(monkeypatch):
+    path, pattern = bpe.public_vocabulary()
+    encoder, alone = bpe.Encoder(path, pattern), []
+    one = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: alone.append(piece) or one(piece, ranks))
+    r = random.Random(5)
+    ids = bpe._encoded(encoder, [" ".join(words_of(r, 50)) for _ in range(40)] + ["x" * 40])
+    assert len(ids) == 41 and all(piece in encoder.ranks or len(piece) > bpe.FAN for piece in alone) and any(len(piece) > bpe.FAN for piece in alone)
+
+
+@pytest.mark.parametrize("remembered, together", [(80_000, 4096), (10, 3), (0, 1)])
+def test_bpe_merged_together_equals_tiktoken(monkeypatch, remembered, together):
+    import tiktoken
+
+    path, pattern = bpe.public_vocabulary()
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    r = random.Random(6)
+    odd = ["\x00" * k for k in range(1, 18)] + ["".join(chr(r.choice([0, 1, 0x41, 0xE9, 0x7FF, 0x6F22, 0x1F642, 0x10FFFF])) for _ in range(r.randint(1, 6))) for _ in range(300)]
+    texts = ["", *odd, "aaaa aaaaaaaaaaaaaaa aaaaaaaaaaaaaaaa aaaaaaaaaaaaaaaaa", *(" ".join(words_of(r, 30)) for _ in range(10))]
+    encoder = bpe.Encoder(path, pattern)
+    for _ in range(3):
+        r.shuffle(texts)
+        for a in range(0, len(texts), 50):
+            part = texts[a : a + 50]
+            ids = bpe._encoded(encoder, part)
+            assert ids.to_pylist() == [public.encode_ordinary(t) for t in part]
+            assert [bytes(b) for b in bpe._decoded(encoder, ids).to_pylist()] == [t.encode() for t in part]
+            assert len(encoder.known) <= max(remembered, len({m for t in part for m in encoder.find(t)}))
+
+
 def test_fingerprints_follow_generalised_jaccard(docs, texts):
     ordered = sorted(((null_first(i), t or "") for i, t in texts), reverse=True)
     count = lambda t: collections.Counter(WORD.findall(low(t)))

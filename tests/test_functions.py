@@ -68,3 +68,9 @@ def test_explanations(spark):
     )
     text = spark.range(1).select(T.explanation_text(e)).first()[0]
     assert text == "Артикул похож (similarity=0.80), код найден в наименовании каталога (7715020), наименование близко (score=0.50), совпал бренд"
+
+
+def test_a_number_is_looked_for_once(spark):
+    rows = spark.createDataFrame([("-1 234,5 руб",), ("5-10",), ("нет",), (None,), ("1,234.5",)], "s string").select(T.parse_decimal(F.col("s")).alias("n"))
+    assert [r["n"] if r["n"] is None else float(r["n"]) for r in rows.collect()] == [-1234.5, 5.0, None, None, 1234.5]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.similarity_join import first_rows
-from ..plans.storage import numbered
+from ..plans.storage import numbered, settled
 
 REPLACE, MERGE = "replace", "merge"
 
@@ -53,6 +53,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     return found.select("source_id", "key", F.col("lines")[0].alias("first_line"), F.slice("lines", 2, F.size("lines")).alias("other_lines"))
 
 
+#: Sources of an import, one short name each, that are broadcast.
+FEW_SOURCES = 200_000
 VALUES = ["article_raw", "code_1c", "name", "manufacturer", "price", "unit"]
 
 
@@ -67,30 +69,31 @@ def upsert(stored: DataFrame, rows: DataFrame, mode: str = REPLACE, at: datetime
     the store has that column, and their ids depend on it, so that no import makes an id again.
     """
     at = at or datetime.now(UTC)
-    fresh = drop_repeats(rows)
-    items = stored_key(stored)
-    touched = fresh.select("source_id").distinct()
-    reachable = items.filter("key is not null" + ("" if mode == REPLACE else " and is_active")).join(touched, "source_id", "left_semi")
-    target = first_rows(reachable, ["source_id", "key"], [F.desc("is_active"), F.col("item_id")], 1)
-    new = fresh.select("source_id", "key", "line_number", *(F.col(c).alias(f"new_{c}") for c in VALUES))
-    hit = target.select("item_id", "source_id", "key").join(new.filter("key is not null"), ["source_id", "key"])
-    kept = items.drop("key").join(hit.drop("source_id", "key"), "item_id", "left")
-    updated = F.col("line_number").isNotNull()
+    items, fresh = stored_key(stored).withColumn("known", F.lit(True)), drop_repeats(rows)
+    new = fresh.select(F.col("source_id").alias("new_source"), F.col("key").alias("new_key"), "line_number", *(F.col(c).alias(f"new_{c}") for c in VALUES), F.lit(True).alias("came"))
+    # rows and items move once, to their keys; those without a key stay where they are
+    first = F.row_number().over(Window.partitionBy("source_id", "key").orderBy(F.desc("is_active"), "item_id")) == 1
+    keyed = items.filter("key is not null").withColumn("target", first if mode == REPLACE else first & F.col("is_active"))
+    with_key = new.filter("new_key is not null")
+    both = keyed.join(with_key, (F.col("source_id") == F.col("new_source")) & (F.col("key") == F.col("new_key")) & F.col("target"), "full")
+    both = both.unionByName(items.filter("key is null"), allowMissingColumns=True).unionByName(new.filter("new_key is null"), allowMissingColumns=True)
+    touched = settled(rows.select("source_id").distinct()).withColumn("imported", F.lit(True))
+    touched = F.broadcast(touched) if touched.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else touched
+    both = both.join(touched, "source_id", "left")
+    inserted, updated = F.col("known").isNull(), F.col("known") & F.col("came")
     retire = F.col("is_active") & F.col("imported") if mode == REPLACE else F.lit(False)
-    kept = kept.join(touched.withColumn("imported", F.lit(True)), "source_id", "left").withColumn("imported", F.coalesce("imported", F.lit(False)))
-    kept = kept.withColumn("change", F.when(updated, "updated").when(retire, "deactivated").otherwise("kept"))
-    value = lambda c: F.when(updated, F.coalesce(f"new_{c}", c)).otherwise(F.col(c))
-    kept = kept.withColumns({c: value(c) for c in VALUES}).withColumn(
-        "is_active", F.when(F.col("change") == "updated", True).when(F.col("change") == "deactivated", False).otherwise(F.col("is_active"))
-    )
-    inserted = fresh.join(hit.select("source_id", "line_number"), ["source_id", "line_number"], "left_anti")
-    made = F.sha2(F.concat_ws("|", "source_id", F.coalesce("key", F.lit("")), F.col("line_number").cast("string"), F.lit(at.isoformat())).cast("binary"), 256)
-    inserted = inserted.select(
-        F.substring(made, 1, 32).alias("item_id"), "source_id", *VALUES, F.lit(True).alias("is_active"), F.lit("inserted").alias("change"),
-        *([F.lit(at).cast(stored.schema["created_at"].dataType).alias("created_at")] if "created_at" in stored.columns else []),
-    )
+    change = F.when(inserted, "inserted").when(updated, "updated").when(retire, "deactivated").otherwise("kept")
+    made = F.sha2(F.concat_ws("|", "new_source", F.coalesce("new_key", F.lit("")), F.col("line_number").cast("string"), F.lit(at.isoformat())).cast("binary"), 256)
+    value = lambda c: F.when(inserted, F.col(f"new_{c}")).when(updated, F.coalesce(f"new_{c}", c)).otherwise(F.col(c))
+    facts = {c: value(c) for c in VALUES} | {
+        "item_id": F.when(inserted, F.substring(made, 1, 32)).otherwise(F.col("item_id")),
+        "source_id": F.when(inserted, F.col("new_source")).otherwise(F.col("source_id")),
+        "is_active": F.when(F.col("change").isin("inserted", "updated"), True).when(F.col("change") == "deactivated", False).otherwise(F.col("is_active")),
+    }
+    if "created_at" in stored.columns:
+        facts["created_at"] = F.when(inserted, F.lit(at).cast(stored.schema["created_at"].dataType)).otherwise(F.col("created_at"))
     wanted = [*stored.columns, "change"]
-    out = kept.select(*wanted).unionByName(inserted, allowMissingColumns=True)
+    out = both.withColumn("change", change).withColumns(facts).select(*wanted)
     normal = {"article_normalized": T.normalize_article(F.col("article_raw")), "name_normalized": T.normalize_name(F.col("name")), "manufacturer_normalized": T.normalize_label(F.col("manufacturer"))}
     return out.withColumns(normal).select(*wanted)
 
@@ -165,8 +168,8 @@ def import_price_lists(stored: DataFrame, rows: DataFrame, suppliers: DataFrame,
     """The item store after the price lists in `rows` replaced those of their sources, with numbers and links to the
     catalog, and the counters of each source. The store's columns stay as they are; it must have those of stored items."""
     named, _ = validate(rows)
-    changed = upsert(stored, named, REPLACE, at)
-    store = link_to_catalog(assign_sku(changed.drop("change"), suppliers))
+    changed = settled(upsert(stored, named, REPLACE, at))
+    store = link_to_catalog(settled(assign_sku(changed.drop("change"), suppliers)))
     return store.select(*stored.columns), report(changed, rows)
 
 

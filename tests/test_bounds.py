@@ -32,3 +32,18 @@ def test_store_has_no_folder_for_each_source(spark, tmp_path):
     assert len(list((tmp_path / "store/data").rglob("*.parquet"))) <= 20
     assert store.update("f", 1, names[:150], lambda items: items.limit(0)) and store.items().count() == 450
     assert store.items(["S200", "S10"]).count() == 3
+
+
+def test_rounds_of_units_leave_nothing_behind(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from specforge.operators import units as U
+    from specforge.plans.storage import shared_path
+
+    folder = os.path.dirname(urlparse(shared_path(spark)).path)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    chain = spark.createDataFrame([(f"u{n}", f"u{n + 1}", 2.0) for n in range(40)], "unit string, other string, factor double")
+    closed = {r["unit"]: r for r in U.unit_closure(chain).collect()}
+    assert len(closed) == 41 and {r["canonical"] for r in closed.values()} == {"u0"} and closed["u1"]["factor"] == 0.5
+    assert len(set(os.listdir(folder)) - before) <= 2
